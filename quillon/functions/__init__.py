@@ -1 +1 @@
-
+"""Scalar functions of the formula and model languages."""

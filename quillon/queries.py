@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon import queries_functions  # noqa: F401
 from quillon.operators import nested_xml, reject_rows, rolling, spatial, spikes
+from quillon.registry import QUERIES, SQL, query
 from quillon.session import folded, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        assert name not in QUERIES, name
-        QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
-        return fn
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 # --- 1 rows that fail to parse -------------------------------------------------------------------
 
