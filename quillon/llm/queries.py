@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import leakage, mixing
+from quillon.llm import leakage, mixing, pii
 from quillon.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents")).select("doc_id", "line_no", "pii_type").distinct()
+
+
+@query
+def p8_masked(spark: SparkSession, d: str) -> DataFrame:
+    return pii.mask(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "masked_text")
