@@ -29,9 +29,28 @@ class Scope:
     order_by: tuple[Column, ...] = ()
     partition_by: tuple[Column, ...] = ()
     last_match: bool = False
+    steps: list[dict[str, Column]] = field(default_factory=list)
 
     def inner(self, more: Mapping[str, MCol] | None = None) -> Scope:
-        return Scope({**self.names, **(more or {})}, self.macros, self.legacy, self.order_by, self.partition_by, self.last_match)
+        return Scope({**self.names, **(more or {})}, self.macros, self.legacy, self.order_by, self.partition_by, self.last_match, self.steps)
+
+    def stage(self, *cols: Column) -> list[Column]:
+        """Gives expressions that are used more than once a projection of their own, so that their code is planned once."""
+        base = sum(map(len, self.steps))
+        names = [f"__s{base + k}" for k in range(len(cols))]
+        self.steps.append(dict(zip(names, cols, strict=True)))
+        return [F.col(n) for n in names]
+
+    def staged(self, col: MCol) -> MCol:
+        if col.mask is None:
+            return MCol(self.stage(col.value)[0])
+        value, mask = self.stage(col.value, col.mask)
+        return MCol(value, mask)
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        for step in self.steps:
+            df = df.withColumns(step)
+        return df
 
     def find(self, name: str) -> MCol:
         if name not in self.names:
@@ -281,7 +300,7 @@ def define_functions(node: Node, scope: Scope) -> None:
         def macro(args: list[MCol], params: list[str] = params, body: Node = body) -> MCol:
             if len(args) != len(params):
                 raise ModelError(f"{len(params)} arguments expected")
-            return expression(body, Scope(dict(zip(params, args, strict=True)), scope.macros, scope.legacy, scope.order_by, scope.partition_by))
+            return expression(body, Scope(dict(zip(params, args, strict=True)), scope.macros, scope.legacy, scope.order_by, scope.partition_by, scope.last_match, scope.steps))
 
         scope.macros[d.need("name")] = macro
 
@@ -294,7 +313,7 @@ def derived_fields(node: Node, scope: Scope) -> list[str]:
         if name in made:
             raise ModelError(f"field {name!r} is defined twice")
         col = expression(child_expression(d), scope)
-        scope.names[name] = cast(col, read_type(d)) if d.get("dataType") else col
+        scope.names[name] = scope.staged(cast(scope.staged(col), read_type(d)) if d.get("dataType") else col)
         made.append(name)
     return made
 

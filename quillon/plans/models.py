@@ -18,7 +18,7 @@ from quillon.functions import special
 from quillon.mcol import INVALID, MISSING, VALID, MCol, source
 from quillon.plans.expressions import EXPRESSIONS, Scope, array_values, as_missing, child_expression, define_functions, derived_fields, expression, predicate
 from quillon.plans.ir import MODELS, PREDICATES, UNSCORED, ModelError, Node
-from quillon.plans.types import cast, mining_field, read_type
+from quillon.plans.types import cast, mining_field, read_type, treats
 
 Features = dict[str, MCol]
 #: Trees with more nodes than this are walked in Arrow batches, not compiled into one CASE.
@@ -79,6 +79,7 @@ def _baseline(model: Node, scope: Scope) -> Features:
             mean = base.number("mean")
             variance = base.number("variance", mean if base.tag == "PoissonDistribution" else None)
             z = F.try_divide(x - mean, F.lit(math.sqrt(variance)) if variance and variance > 0 else F.lit(0.0))
+        (z,) = scope.stage(z)
         state = F.when(col.state != VALID, col.state).when(z.isNull(), INVALID).otherwise(VALID)
         p = 1 - F.abs(special.erf(z / math.sqrt(2)))
         return {"": MCol(F.when(state == VALID, z), state), "pValue": MCol(F.when(state == VALID, p), state)}
@@ -155,6 +156,7 @@ def _tree(model: Node, scope: Scope) -> Features:
 
     top = predicate(root.first(*PREDICATES), scope)
     place = F.when(F.coalesce(top, F.lit(False)), _wide_walk(nodes, places, scope, strategy, keep_last) if len(nodes) > WIDE_TREE else walk(root, 0))
+    (place,) = scope.stage(place)
     spot, unknowns = place["k"], place["u"]
 
     def pick(values: list, kind: str) -> Column:
@@ -312,7 +314,7 @@ def _regression(model: Node, scope: Scope) -> Features:
     names = [t.need("targetCategory") for t in tables]
     live = [y.mask for y in ys if y.mask is not None]
     state = (F.greatest(*live) if len(live) > 1 else live[0]) if live else F.lit(VALID)
-    values = [y.value for y in ys]
+    values = scope.stage(*(y.value for y in ys))
     ordinal = any(f.get("usageType") in ("predicted", "target") and f.get("optype") == "ordinal" for f in (model.first("MiningSchema") or Node("")).all("MiningField"))
     if ordinal and norm in ("logit", "probit", "loglog", "cloglog", "cauchit"):
         up = [_LINKS[norm](v) for v in values[:-1]]
@@ -328,11 +330,13 @@ def _regression(model: Node, scope: Scope) -> Features:
     else:
         first = [_LINKS[norm](v) for v in values[:-1]]
         probs = [*first, 1 - reduce(lambda a, b: a + b, first)]
-    return _classes(names, probs, state)
+    return _classes(scope, names, probs, state)
 
 
-def _classes(names: list[str], scores: list[Column], state: Column) -> Features:
+def _classes(scope: Scope, names: list[str], scores: list[Column], state: Column) -> Features:
+    *scores, state = scope.stage(*scores, state)
     best = F.array_max(F.array(*[F.struct(F.coalesce(p, F.lit(float("-inf"))).alias("p"), F.lit(-k).alias("k")) for k, p in enumerate(scores)]))
+    (best,) = scope.stage(best)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), 1 - best["k"])
     ok = state == VALID
     out = {"": MCol(F.when(ok, label), state), "probability": MCol(F.when(ok, best["p"]), state)}
@@ -361,11 +365,13 @@ def _naive_bayes(model: Node, scope: Scope) -> Features:
             found = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), miss) if table else miss
             logs[k] = logs[k] + F.when(col.state == VALID, found).otherwise(0.0)
         invalid = invalid | (col.state == INVALID)
+    logs = scope.stage(*logs)
     top = F.greatest(*logs)
     parts = [F.when(top == float("-inf"), 0.0).otherwise(F.exp(g - top)) for g in logs]
+    parts = scope.stage(*parts)
     total = reduce(lambda a, b: a + b, parts)
     probs = [F.when(total > 0, p / total).otherwise(0.0) for p in parts]
-    return _classes(names, probs, F.when(invalid, INVALID).otherwise(VALID))
+    return _classes(scope, names, probs, F.when(invalid, INVALID).otherwise(VALID))
 
 
 # Clustering.
@@ -438,11 +444,12 @@ def _clustering(model: Node, scope: Scope, reference_compat: bool = False) -> Fe
 
     centers = [[float(v) for v in array_values(c.first("Array"))] for c in clusters]
     ids = [c.get("id", c.get("name", str(k + 1))) for k, c in enumerate(clusters)]
-    values = [distance(c) for c in centers]
+    values = scope.stage(*(distance(c) for c in centers))
     sign = -1.0 if similar and not reference_compat else 1.0
     best = F.array_min(F.array(*[F.struct((v * sign).alias("d"), F.lit(k).alias("k")) for k, v in enumerate(values)]))
+    (best,) = scope.stage(best)
     invalid = reduce(lambda a, b: a | b, [c.state == INVALID for c in cols])
-    state = F.when(invalid | (known <= 0) | best["d"].isNull(), INVALID).otherwise(VALID)
+    (state,) = scope.stage(F.when(invalid | (known <= 0) | best["d"].isNull(), INVALID).otherwise(VALID))
     name = F.element_at(F.array(*[F.lit(i) for i in ids]), best["k"] + 1)
     ok = state == VALID
     out = {"": MCol(F.when(ok, name), state)}
@@ -470,6 +477,7 @@ def _rules(model: Node, scope: Scope) -> Features:
                 collect(r, p)
 
     collect(rule_set, None)
+    flat = list(zip(scope.stage(*(p for p, _ in flat)), [r for _, r in flat], strict=True))
     kind = "struct<score:string,weight:double,id:string>"
     made = [F.when(p, F.struct(F.lit(r.need("score")).alias("score"), F.lit(r.number("weight", 1.0)).alias("weight"), F.lit(r.get("id", f"Untitled-{k + 1}")).alias("id"))) for k, (p, r) in enumerate(flat)]
     default = F.when(F.lit(rule_set.get("defaultScore") is not None), F.struct(F.lit(rule_set.get("defaultScore")).alias("score"), F.lit(rule_set.number("defaultConfidence")).cast("double").alias("weight"), F.lit(None).cast("string").alias("id"))).cast(kind)
@@ -486,6 +494,7 @@ def _rules(model: Node, scope: Scope) -> Features:
         chosen = F.when(F.size(hits) > 0, F.struct(top["s"].alias("score"), (top["w"] / F.size(hits)).alias("weight"), F.lit(None).cast("string").alias("id"))).otherwise(default)
     else:
         raise ModelError(f"unknown criterion {criterion!r}")
+    (chosen,) = scope.stage(chosen)
     return {"": _null_state(chosen["score"], MISSING), "weight": _null_state(chosen["weight"], MISSING), "confidence": _null_state(chosen["weight"], MISSING), "entityId": _null_state(chosen["id"], MISSING)}
 
 
@@ -500,6 +509,8 @@ def _mining(model: Node, scope: Scope) -> Features:
         hit = F.coalesce(predicate(s.first(*PREDICATES), scope), F.lit(False))
         inner = s.first(*MODELS)
         features = score_model(inner, scope)
+        (hit,) = scope.stage(hit)
+        features[""] = scope.staged(features[""])
         scored.append((s.get("id", str(k + 1)), s.number("weight", 1.0), hit, features))
     if method == "modelChain":
         raise ModelError("modelChain is not supported")
@@ -508,6 +519,7 @@ def _mining(model: Node, scope: Scope) -> Features:
         first = F.lit(None).cast("int")
         for k in reversed(range(len(scored))):
             first = F.when(scored[k][2], F.lit(k)).otherwise(first)
+        (first,) = scope.stage(first)
         names = list(dict.fromkeys(n for *_, f in scored for n in f))
         out = {}
         for n in names:
@@ -530,9 +542,11 @@ def _mining(model: Node, scope: Scope) -> Features:
     if method in ("majorityVote", "weightedMajorityVote"):
         votes = F.array_compact(F.array(*[F.when(u, F.struct(v.cast("string").alias("s"), F.lit(w if method.startswith("weighted") else 1.0).alias("w"))) for (_, w, _, _), u, v in zip(scored, usable, values, strict=True)]))
         labels = F.array_distinct(F.transform(votes, lambda x: x["s"]))
+        votes, = scope.stage(votes)
+        labels = F.array_distinct(F.transform(votes, lambda x: x["s"]))
         tally = F.transform(labels, lambda s: F.struct(F.aggregate(F.filter(votes, lambda x: x["s"] == s), F.lit(0.0), lambda a, x: a + x["w"]).alias("w"), (-F.array_position(labels, s)).alias("k"), s.alias("s")))
         return {"": _null_state(F.array_max(tally)["s"], MISSING), "cardinality": MCol(cardinality)}
-    numbers = [F.when(u, v.cast("double")) for u, v in zip(usable, values, strict=True)]
+    numbers = scope.stage(*(F.when(u, v.cast("double")) for u, v in zip(usable, values, strict=True)))
     weights = [w for _, w, _, _ in scored]
     add = lambda cols: reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in cols])
     some = cardinality > 0
@@ -566,7 +580,8 @@ def score_model(model: Node, outer: Scope) -> Features:
     schema = model.first("MiningSchema")
     for f in schema.all("MiningField") if schema else ():
         if f.get("usageType", "active") in ("active", "supplementary", "group", "order") and f.need("name") in scope.names:
-            scope.names[f.need("name")] = mining_field(scope.find(f.need("name")), f)
+            if treats(f):
+                scope.names[f.need("name")] = scope.staged(mining_field(scope.find(f.need("name")), f))
     local = model.first("LocalTransformations")
     if local is not None:
         derived_fields(local, scope)
@@ -621,8 +636,11 @@ def input_scope(df: DataFrame, doc: Node, order_by: tuple[str, ...] = (), partit
         raise ModelError(f"the input lacks {', '.join(absent)}")
     kinds = dict(df.dtypes)
     names = {c: source(F.col(f"`{c}`"), kinds[c] in ("double", "float")) for c in df.columns}
-    names |= {n: cast(names[n], read_type(f)) for n, f in declared.items()}
     scope = Scope(names, {}, legacy, tuple(F.col(o) for o in order_by), tuple(F.col(p) for p in partition_by), last_match)
+    for n, f in declared.items():
+        kind = read_type(f)
+        if kinds[n] != kind.spark or kind.valid or kind.missing or kind.invalid or kind.intervals:
+            names[n] = scope.staged(cast(names[n], kind))
     transforms = doc.first("TransformationDictionary")
     if transforms is not None:
         define_functions(transforms, scope)
@@ -638,6 +656,7 @@ def score(df: DataFrame, doc: Node, keep: tuple[str, ...] = (), features: tuple[
     """
     scope = input_scope(df, doc, order_by, partition_by, legacy, last_match)
     made = score_model(find_model(doc), scope)
+    df = scope.applied(df)
     if "__cusum" in made:
         return _score_cusum(df, made, keep)
     tidy = lambda n: n.replace(":", "_").replace(".", "_")
@@ -661,6 +680,7 @@ def _score_cusum(df: DataFrame, made: dict, keep: tuple[str, ...]) -> DataFrame:
 def transform(df: DataFrame, doc: Node, names: tuple[str, ...], keep: tuple[str, ...] = (), order_by: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), legacy: bool = False, masks: bool = False, last_match: bool = False) -> DataFrame:
     """Derived fields of a document's TransformationDictionary; with ``masks`` also <name>__mask."""
     scope = input_scope(df, doc, order_by, partition_by, legacy, last_match)
+    df = scope.applied(df)
     cols = [F.col(f"`{k}`") for k in keep]
     for n in names:
         cols.append(scope.find(n).edge().alias(n))

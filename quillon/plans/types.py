@@ -88,8 +88,15 @@ def wrap(value: Column, first: float, last: float) -> Column:
     return F.pmod(value - first, F.lit(last - first + 1)) + first
 
 
+def treats(node: Node) -> bool:
+    """Whether a MiningField changes anything."""
+    return node.get("outliers", "asIs") != "asIs" or node.get("invalidValueTreatment") == "asMissing" or node.get("missingValueReplacement") is not None
+
+
 def mining_field(col: MCol, node: Node) -> MCol:
     """Outlier, invalid-value and missing-value treatment of a MiningField, in that order."""
+    if not treats(node):
+        return col
     value, mask = col.value, col.state
     low, high = node.number("lowValue"), node.number("highValue")
     outliers = node.get("outliers", "asIs")

@@ -97,7 +97,8 @@ def _predicate(name: str, xml: str, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         df = frame(spark, d)
         scope = models.input_scope(df, document("", _EVENT_FIELDS))
-        return df.select("event_id", expressions.predicate(ir.load(xml), scope).alias("r"))
+        hit = expressions.predicate(ir.load(xml), scope)
+        return scope.applied(df).select("event_id", hit.alias("r"))
 
 
 for _op, _sql in {"equal": "j = 1", "notEqual": "j <> 1", "lessThan": "j < 1", "lessOrEqual": "j <= 1", "greaterThan": "j > 1", "greaterOrEqual": "j >= 1", "isMissing": "j IS NULL", "isNotMissing": "j IS NOT NULL"}.items():
