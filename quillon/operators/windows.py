@@ -116,8 +116,8 @@ def look_ahead(df: DataFrame, x: str, step: float, by: Sequence[str], first: boo
     """
     w = W.partitionBy(*by).orderBy(x)
     placed = df.withColumn("__i", F.row_number().over(w) - 1)
-    reach = W.partitionBy(*by).orderBy(x).rangeBetween(W.unboundedPreceding, step)
-    matched = placed.withColumn("__v", F.max(x).over(reach))
+    keys = f"partition by {', '.join(f'`{b}`' for b in by)} " if by else ""
+    matched = placed.withColumn("__v", F.expr(f"max(`{x}`) over ({keys}order by `{x}` range between unbounded preceding and {float(step)!r}D following)"))
     spots = placed.groupBy(*by, F.col(x).alias("__v")).agg((F.min("__i") if first else F.max("__i")).alias(out))
     return matched.join(spots, [*by, "__v"], "left").drop("__i", "__v")
 
