@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import spread
+
 TAGGED = "origin string, file_name string, tag string, pk string, parent_pk string, payload string"
 
 
@@ -81,7 +83,7 @@ class ConfigVisitor(_Visitor):
 VISITORS = {"models": ModelVisitor, "configs": ConfigVisitor}
 
 
-def tagged_rows(df: DataFrame, origin: str, name_col: str, text_col: str, pieces: int | None = None) -> DataFrame:
+def tagged_rows(df: DataFrame, origin: str, name_col: str, text_col: str) -> DataFrame:
     """Tagged emission of one origin (``models`` or ``configs``).
 
     Null or not well-formed content gives no rows; a null file name stays null; empty tables give none.
@@ -98,9 +100,7 @@ def tagged_rows(df: DataFrame, origin: str, name_col: str, text_col: str, pieces
             yield pd.DataFrame(out, columns=["origin", "file_name", "tag", "pk", "parent_pk", "payload"])
 
     chosen = df.select(F.col(name_col).alias("n"), F.col(text_col).alias("x")).filter(F.col("x").isNotNull())
-    if pieces:
-        chosen = chosen.repartition(pieces)
-    return chosen.mapInPandas(run, TAGGED)
+    return spread(chosen).mapInPandas(run, TAGGED)
 
 
 def write_tables(tagged: DataFrame, path: str) -> None:

@@ -18,6 +18,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import spread
+
 WELL_QUOTED = r'^(?:"(?:[^"]|"")*"|[^"\t]*)(?:\t(?:"(?:[^"]|"")*"|[^"\t]*))*$'
 BOM = "\ufeff"
 ESCAPE = "\ue000"
@@ -148,7 +150,7 @@ def split_lines(df: DataFrame, feeds: tuple[Feed, ...] = FEEDS, id_col: str = "l
                     yield from parse_lines(mine.column(0), pc.cast(mine.column(2), pa.string()), feed, schema).to_batches()
 
     chosen = df.select(F.col(id_col).cast("long"), F.col(feed_col), F.col(text_col)).filter(F.col(feed_col).isin([f.name for f in feeds]))
-    return chosen.mapInArrow(run, text)
+    return spread(chosen).mapInArrow(run, text)
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

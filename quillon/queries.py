@@ -128,9 +128,8 @@ def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    pieces = max(spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    models = nested_xml.tagged_rows(table(spark, d, "models"), "models", "model_name", "pmmlfile", pieces)
-    return models.unionByName(nested_xml.tagged_rows(table(spark, d, "configs"), "configs", "config_name", "configfile", pieces))
+    models = nested_xml.tagged_rows(table(spark, d, "models"), "models", "model_name", "pmmlfile")
+    return models.unionByName(nested_xml.tagged_rows(table(spark, d, "configs"), "configs", "config_name", "configfile"))
 
 
 @query("p5_found")
