@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.words import Words, chunks, mix
-from quillon.session import materialise
+from quillon.session import materialise, spread
 
 WORD_BITS, KEY_BITS = 20, 22
 
@@ -157,7 +157,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, r
                     yield pd.DataFrame({"doc_id": ids[at + words.text[start[n]]], "lsh_key": keys[n, r].view(np.int64), "doc_words": [spelled[k][0] for k in n.tolist()], "doc_code": [spelled[k][1] for k in n.tolist()]})
 
     chosen = docs.select(F.col(doc_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null and t is not null")
-    found = chosen.mapInPandas(run, "doc_id long, lsh_key long, doc_words string, doc_code string")
+    found = spread(chosen).mapInPandas(run, "doc_id long, lsh_key long, doc_words string, doc_code string")
     if index.count() <= broadcast_rows:
         met = found.join(F.broadcast(index), "lsh_key")
     else:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.session import materialise
+from quillon.session import materialise, spread
 
 TOKENIZER = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the published splitting pattern that belongs to the byte-level vocabulary.
@@ -46,7 +46,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, doc_col: str = "do
             n = [0 if t is None else len(enc.encode_ordinary(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
-    return docs.select(F.col(doc_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col)).mapInArrow(run, "doc_id long, source string, tokens long")
+    return spread(docs.select(F.col(doc_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col))).mapInArrow(run, "doc_id long, source string, tokens long")
 
 
 def plan_quotas(have: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None) -> dict[str, int]:
