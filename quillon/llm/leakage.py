@@ -161,8 +161,8 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, r
     if index.count() <= broadcast_rows:
         met = found.join(F.broadcast(index), "lsh_key")
     else:
-        spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["lsh_key", "salt"])
+        repeated = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(repeated, ["lsh_key", "salt"])
     met = met.filter(F.levenshtein("doc_code", "item_code", edits) >= 0).select("doc_id", "item_id", "doc_words", "item_words")
     if edits == 0:
         sure = met.filter("doc_words = item_words").withColumn("edits", F.lit(0))
