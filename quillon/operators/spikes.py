@@ -99,8 +99,12 @@ def kalman_flags(v: np.ndarray, coef: float, gate: float = 6.0, drift: float = 0
     return flags, score
 
 
-def confirm(v: np.ndarray, flags: np.ndarray, coef: float, times: float, longest: int, around: int = 3) -> np.ndarray:
-    """Keeps flagged runs of at most ``longest`` that lie ``times`` the usual scatter off, to one side, of the sound readings just before and after."""
+def confirm(v: np.ndarray, flags: np.ndarray, coef: float, times: float, longest: int, around: int = 2, margin: float = 0.7) -> np.ndarray:
+    """Keeps flagged runs of at most ``longest`` that lie ``times`` the usual scatter off, to one side, of the sound readings just before and after.
+
+    Level and scatter are estimates, and on a slope both sides pull the level: ``margin`` is the share of
+    ``times`` that is asked of the estimated distance. Ordinary readings stay below 5.
+    """
     kept = np.zeros(len(v), bool)
     edge = np.flatnonzero(np.diff(np.r_[0, flags.view(np.int8), 0]))
     sound = np.flatnonzero(~flags)
@@ -108,13 +112,13 @@ def confirm(v: np.ndarray, flags: np.ndarray, coef: float, times: float, longest
         if b - a > longest:
             continue
         k = np.searchsorted(sound, a)
-        sides = [np.median(v[x]) for x in (sound[max(0, k - around) : k], sound[k : k + around]) if len(x)]
+        sides = [np.mean(v[x]) for x in (sound[max(0, k - around) : k], sound[k : k + around]) if len(x)]
         if not sides:
             continue
         scatter = coef * max(float(np.mean(sides)), 1.0) ** 0.5
         off = np.array([v[a:b] - s for s in sides]) / scatter
-        # The side whose level fits the run least decides; a run's members may differ, each is judged alone.
-        kept[a:b] = (off >= times).all(axis=0) | (off <= -times).all(axis=0)
+        # Both sides must agree; a run's members may differ, each is judged alone.
+        kept[a:b] = (off >= margin * times).all(axis=0) | (off <= -margin * times).all(axis=0)
     return kept
 
 
@@ -133,7 +137,7 @@ def judge(frame: pd.DataFrame, run: int = 8, times: float = 10.0, longest: int =
     spike, scores = np.zeros(len(v), bool), np.zeros(len(v))
     spike[sound], scores[sound] = confirm(x, flags, coef, times, longest), score
     fault = np.where(impossible, "impossible", np.where(stuck, "stuck", np.where(spike, "spike", "")))
-    out = pd.DataFrame({"reading_id": frame["reading_id"].to_numpy(), "fault": fault, "score": scores})
+    out = pd.DataFrame({"reading_id": frame["reading_id"].to_numpy(), "fault": fault.astype(object), "score": scores})
     return out[(fault != "") & frame["core"].to_numpy()]
 
 
