@@ -93,6 +93,8 @@ def _item_index(items: DataFrame, walk: WalkHash, item_col: str, passage_col: st
             for at, texts in chunks(frame["t"].tolist()):
                 words = Words(texts)
                 start = _windows(words, walk.window, np.ones(len(words.hash), bool))
+                if not len(start):
+                    continue
                 hashes = words.hash[start[:, None] + np.arange(walk.window)]
                 keys, codes = walk.keys(hashes), _codes(hashes)
                 spelled = [words.spell(i, walk.window) for i in start]
