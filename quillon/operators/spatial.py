@@ -1,9 +1,9 @@
 """Points near other points, and the regions containing them.
 
-Near: every point enters a grid whose cell size follows its own range (a power of two). As a pair counts
+Near: every point enters a grid whose cell size follows its own range (a power of four). As a pair counts
 only within the smaller of the two ranges, the point of the smaller range looks for partners at its own
 level, and each point is registered at its level and all finer ones. Candidates therefore stay in
-proportion to the result whatever the mix of ranges, and no row is capped.
+proportion to the result whatever the mix of ranges, and no row is capped. A cell is one packed number.
 
 Inside: polygon edges are binned into latitude strips and longitude tiles, points join the edges of their
 bin, and the ray crossings are counted by point and region. Points on a boundary are handled explicitly.
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0088
 KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
-FINEST = -7
-COARSEST = 15
+#: Grid levels: cells of 4**level km, from 4 m to more than half the globe.
+FINEST = -4
+COARSEST = 8
 
 
 def usable_points(df: DataFrame, id_col: str = "record_id", lat: str = "lat", lon: str = "longitude", range_col: str = "range_km", arrival: str = "zulutime") -> DataFrame:
@@ -37,19 +38,28 @@ def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.asin(F.sqrt(F.least(F.lit(1.0), a))) * (2 * EARTH_KM)
 
 
-def _row_height(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level) / KM_PER_DEGREE
+def _level(range_km: Column) -> Column:
+    return F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.ceil(F.log2(range_km) / 2))).cast("int")
+
+
+def _size(level: Column) -> Column:
+    return F.pow(F.lit(4.0), level.cast("double"))
+
+
+def _row_of(lat: Column, level: Column) -> Column:
+    return F.floor((lat + 90) * KM_PER_DEGREE / _size(level))
 
 
 def _columns_in(row: Column, level: Column) -> Column:
     """Cells around a latitude row: as many as fit its shortest parallel at the level's size."""
-    height = _row_height(level)
+    height = _size(level) / KM_PER_DEGREE
     far = F.least(F.lit(90.0), F.greatest(F.abs(row * height - 90), F.abs((row + 1) * height - 90)))
-    return F.greatest(F.lit(1.0), F.floor(F.cos(F.radians(far)) * (360 * KM_PER_DEGREE) / F.pow(F.lit(2.0), level))).cast("long")
+    return F.greatest(F.lit(1.0), F.floor(F.cos(F.radians(far)) * (360 * KM_PER_DEGREE) / _size(level))).cast("long")
 
 
-def _cell_row(lat: Column, level: Column) -> Column:
-    return F.floor((lat + 90) / _row_height(level))
+def _packed(level: Column, row: Column, cell: Column) -> Column:
+    """Level, row and cell as one number: they need 4, 24 and 24 bits."""
+    return ((level - FINEST).cast("long") * (1 << 24) + row + 1) * (1 << 24) + cell
 
 
 def near_pairs(points: DataFrame, hot_cell: int = 4000) -> DataFrame:
@@ -60,32 +70,34 @@ def near_pairs(points: DataFrame, hot_cell: int = 4000) -> DataFrame:
     task meets a whole hot cell; their probes are repeated for each part.
     """
     ranged = points.filter("range_km > 0 and not isnan(range_km)")
-    level = F.greatest(F.lit(FINEST), F.least(F.lit(COARSEST), F.ceil(F.log2("range_km"))))
-    ranged = ranged.withColumn("level", level.cast("int"))
-    regs = ranged.withColumn("at", F.explode(F.sequence(F.lit(FINEST), F.col("level")))).withColumn("row", _cell_row(F.col("lat"), F.col("at")))
+    regs = ranged.withColumn("at", F.explode(F.sequence(F.lit(FINEST), _level(F.col("range_km"))))).withColumn("row", _row_of(F.col("lat"), F.col("at")))
     regs = regs.withColumn("cols", _columns_in(F.col("row"), F.col("at")))
-    regs = regs.withColumn("cell", F.pmod(F.floor((F.col("lon") + 180) / 360 * F.col("cols")), F.col("cols")))
-    regs = regs.select("at", "row", "cell", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("range_km").alias("range2"), F.col("level").alias("level2"))
+    cell = F.pmod(F.floor((F.col("lon") + 180) / 360 * F.col("cols")), F.col("cols"))
+    regs = regs.select(_packed(F.col("at"), F.col("row"), cell).alias("cell"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("range_km").alias("range2"))
 
+    # A little more than the range, so that rounding loses no cell.
     reach = F.col("range_km") / EARTH_KM * (1 + 1e-9) + 1e-12
-    home = _cell_row(F.col("lat"), F.col("level"))
-    probes = ranged.withColumn("row", F.explode(F.sequence(home - 1, home + 1))).withColumn("cols", _columns_in(F.col("row"), F.col("level")))
+    up = F.degrees(reach)
+    level = _level(F.col("range_km"))
+    probes = ranged.withColumn("row", F.explode(F.sequence(_row_of(F.greatest(F.lit(-90.0), F.col("lat") - up), level), _row_of(F.least(F.lit(90.0), F.col("lat") + up), level))))
+    probes = probes.withColumn("cols", _columns_in(F.col("row"), level))
     # Half width in longitude of the circle of range; all around where it holds a pole.
-    polar = F.abs(F.radians("lat")) + reach >= F.lit(1.5707963267948966)
-    half = F.when(polar | (reach >= F.lit(1.57)), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(reach) / F.cos(F.radians("lat"))))) * (1 + 1e-9) + 1e-9)
+    polar = (F.abs(F.radians("lat")) + reach >= F.lit(1.5707963267948966)) | (reach >= F.lit(1.57))
+    half = F.when(polar, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(reach) / F.cos(F.radians("lat"))))) * (1 + 1e-9) + 1e-9)
+    probes = probes.withColumn("half", half)
     left, right = (F.floor((F.col("lon") + 180 + s * F.col("half")) / 360 * F.col("cols")) for s in (-1, 1))
-    probes = probes.withColumn("half", half).withColumn("lo", left).withColumn("hi", right)
-    probes = probes.withColumn("cell", F.explode(F.when(F.col("hi") - F.col("lo") + 1 >= F.col("cols"), F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).otherwise(F.transform(F.sequence("lo", "hi"), lambda c: F.pmod(c, F.col("cols"))))))
-    probes = probes.select(F.col("level").alias("at"), "row", "cell", "id", "lat", "lon", "range_km", F.col("level"))
-
-    hot = regs.groupBy("at", "row", "cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_cell)
-    hot = hot.select("at", "row", "cell", F.ceil(F.col("n") / hot_cell).cast("int").alias("parts"))
-    key = ["at", "row", "cell"]
-    regs = regs.join(hot, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id2"), F.col("parts")), F.lit(0).cast("long")))
-    probes = probes.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce(F.col("parts"), F.lit(1)) - 1).cast("long"))))
-    pairs = probes.drop("parts").join(regs.drop("parts"), [*key, "salt"])
-    once = (F.col("level2") > F.col("level")) | (F.col("id") < F.col("id2"))
-    pairs = pairs.filter((F.col("id") != F.col("id2")) & once & (F.abs(F.col("lat") - F.col("lat2")) * KM_PER_DEGREE <= F.col("range_km") * (1 + 1e-9) + 1e-9))
+    probes = probes.withColumn("lo", left).withColumn("hi", right)
+    around = F.when(F.col("hi") - F.col("lo") + 1 >= F.col("cols"), F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)).otherwise(F.transform(F.sequence("lo", "hi"), lambda c: F.pmod(c, F.col("cols"))))
+    probes = probes.withColumn("c", F.explode(around)).select(_packed(level, F.col("row"), F.col("c")).alias("cell"), "id", "lat", "lon", "range_km")
+
+    hot = regs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_cell)
+    hot = hot.select("cell", F.ceil(F.col("n") / hot_cell).cast("int").alias("parts"))
+    regs = regs.join(hot, "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id2"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    probes = probes.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    pairs = probes.join(regs, ["cell", "salt"])
+    # Of two points on one level both look for the other; the smaller id keeps the pair.
+    once = (_level(F.col("range2")) > _level(F.col("range_km"))) | (F.col("id") < F.col("id2"))
+    pairs = pairs.filter((F.col("id") != F.col("id2")) & (F.abs(F.col("lat") - F.col("lat2")) * KM_PER_DEGREE <= F.col("range_km") * (1 + 1e-9) + 1e-9) & once)
     pairs = pairs.filter(great_circle_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= F.least("range_km", "range2"))
     return pairs.select(F.least("id", "id2").alias("left_id"), F.greatest("id", "id2").alias("right_id"))
 
