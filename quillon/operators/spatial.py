@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import materialise
+
 EARTH_KM = 6371.0088
 KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
 #: Grid levels: cells of 4**level km, from 4 m to more than half the globe.
@@ -62,7 +64,7 @@ def _packed(level: Column, row: Column, cell: Column) -> Column:
     return ((level - FINEST).cast("long") * (1 << 24) + row + 1) * (1 << 24) + cell
 
 
-def near_pairs(points: DataFrame, hot_cell: int = 4000) -> DataFrame:
+def near_pairs(points: DataFrame, hot_cell: int = 4000, broadcast_rows: int = 200_000) -> DataFrame:
     """(left_id, right_id), left_id < right_id, of points within the smaller of both ranges of each other.
 
     Points whose range is null, NaN or not above 0 take no part. Points at one place pair like any others.
@@ -92,9 +94,14 @@ def near_pairs(points: DataFrame, hot_cell: int = 4000) -> DataFrame:
 
     hot = regs.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_cell)
     hot = hot.select("cell", F.ceil(F.col("n") / hot_cell).cast("int").alias("parts"))
-    regs = regs.join(hot, "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id2"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    probes = probes.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
-    pairs = probes.join(regs, ["cell", "salt"])
+    hot = materialise(hot, "hot-cells")
+    n_hot = hot.count()
+    if n_hot:
+        # Counted, so known to be small enough to send to all; else the cells are joined like any table.
+        hot = F.broadcast(hot) if n_hot <= broadcast_rows else hot
+        regs = regs.join(hot, "cell", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id2"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        probes = probes.join(hot, "cell", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    pairs = probes.join(regs, ["cell", "salt"] if n_hot else ["cell"])
     # Of two points on one level both look for the other; the smaller id keeps the pair.
     once = (_level(F.col("range2")) > _level(F.col("range_km"))) | (F.col("id") < F.col("id2"))
     pairs = pairs.filter((F.col("id") != F.col("id2")) & (F.abs(F.col("lat") - F.col("lat2")) * KM_PER_DEGREE <= F.col("range_km") * (1 + 1e-9) + 1e-9) & once)

@@ -30,7 +30,8 @@ def test_near_against_brute_force(spark):
     rows += [(1000, 45.0, 10.0, 20000.0), (1001, -45.0, -170.0, 20100.0), (1002, -44.9, -170.0, 20100.0)]
     got = {tuple(r) for r in S.near_pairs(points(spark, rows)).collect()}
     assert got == brute(rows)
-    assert {tuple(r) for r in S.near_pairs(points(spark, rows), hot_cell=3).collect()} == got
+    for rows_sent in (0, 1000):
+        assert {tuple(r) for r in S.near_pairs(points(spark, rows), hot_cell=3, broadcast_rows=rows_sent).collect()} == got
 
 
 def test_usable_and_repeats(spark):
