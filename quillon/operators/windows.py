@@ -39,6 +39,44 @@ def prefix_sum(df: DataFrame, x: Column, order: Sequence[str], out: str, pieces:
     return ranged.withColumn("__l", local).join(F.broadcast(offsets), "__p").withColumn(out, F.col("__l") + F.col("__o")).drop("__x", "__p", "__l", "__o")
 
 
+def continued(df: DataFrame, x: Column, by: Sequence[str], order: Sequence[str], state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with run_count and run_sum, state): running count and sum that go on from a saved state.
+
+    ``state`` has the keys and state_count, state_sum; keys absent from this batch are carried forward.
+    """
+    w = _over(by, order).rowsBetween(W.unboundedPreceding, 0)
+    rows = df
+    if state is None:
+        rows = rows.withColumns({"state_count": F.lit(0).cast("long"), "state_sum": F.lit(0.0)})
+    else:
+        rows = rows.join(state, list(by), "left").na.fill({"state_count": 0, "state_sum": 0.0})
+    value = x.cast("double")
+    out = rows.withColumns({"run_count": F.col("state_count") + F.count(value).over(w), "run_sum": F.col("state_sum") + F.coalesce(F.sum(value).over(w), F.lit(0.0))}).drop("state_count", "state_sum")
+    now = df.groupBy(*by).agg(F.count(value).alias("n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("s"))
+    if state is None:
+        return out, now.select(*by, F.col("n").alias("state_count"), F.col("s").alias("state_sum"))
+    both = state.join(now, list(by), "full").na.fill({"state_count": 0, "state_sum": 0.0, "n": 0, "s": 0.0})
+    return out, both.select(*by, (F.col("state_count") + F.col("n")).alias("state_count"), (F.col("state_sum") + F.col("s")).alias("state_sum"))
+
+
+def grouped_view(df: DataFrame, group: str, x: Column, order: Sequence[str], out: str) -> DataFrame:
+    """Each row with a map of group → running sum over all groups seen so far. For few groups: one window a group."""
+    w = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    values = [r[0] for r in df.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).limit(101).collect()]
+    if len(values) > 100:
+        raise ValueError(f"{group} has more than 100 values")
+    pairs = [F.when(F.count(F.when(F.col(group) == v, 1)).over(w) > 0, F.struct(F.lit(v).alias("k"), F.sum(F.when(F.col(group) == v, x)).over(w).alias("v"))) for v in values]
+    return df.withColumn(out, F.map_from_entries(F.array_compact(F.array(*pairs))))
+
+
+def top_contribution(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """The bin that adds most to the scalar product, and its part."""
+    o = observed.groupBy("bin").agg(F.sum("count").cast("double").alias("o"))
+    e = expected.groupBy("bin").agg(F.sum("count").cast("double").alias("e"))
+    part = F.col("o") * F.col("e")
+    return o.join(e, "bin").agg(F.max_by("bin", part).alias("bin"), F.max(part).alias("part"))
+
+
 def aggregate_reduce(df: DataFrame, group: str, x: Column, inner: str, outer: str) -> DataFrame:
     """An aggregate over the groups of another one."""
     fns = {"count": F.count, "sum": F.sum, "average": F.avg, "min": F.min, "max": F.max}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators import tables, windows
+from quillon.operators import mapreduce, segments, tables, windows
+from quillon.plans import ir
 from quillon.plans import models
 from quillon.queries_functions import _CTE, frame
 from quillon.queries_models import _EVENT_FIELDS, document
@@ -371,3 +372,55 @@ def plot_curve(spark: SparkSession, d: str) -> DataFrame:
 @query("plot_scatter", "SELECT user_id AS x, value AS y FROM events WHERE event_type = 'click'")
 def plot_scatter(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).where("event_type = 'click'").select(F.col("user_id").alias("x"), F.col("value").alias("y"))
+
+
+# --- state, segmentation, map and reduce -----------------------------------------------------------------------
+
+
+@query("agg_continued", f"SELECT event_id, count(value) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS run_count, round(sum(value) OVER ({_W} ROWS UNBOUNDED PRECEDING) + 0.000000314159, 5) AS run_sum FROM events")
+def agg_continued(spark: SparkSession, d: str) -> DataFrame:
+    """Two batches one after the other, the second going on from the first one's state."""
+    rows = _events(spark, d)
+    first, second = rows.where("event_id <= 5000"), rows.where("event_id > 5000")
+    a, state = windows.continued(first, F.col("value"), _BY, _ORDER)
+    b, _ = windows.continued(second, F.col("value"), _BY, _ORDER, state)
+    return a.unionByName(b).select("event_id", "run_count", _off("run_sum"))
+
+
+@query("cd_top_contribution", f"WITH o AS (SELECT event_type AS bin, count(*) AS o FROM events GROUP BY 1) SELECT arg_max(bin, o * e) AS bin, CAST(max(o * e) AS DOUBLE) AS part FROM o JOIN {_EXPECTED} USING (bin)")
+def cd_top_contribution(spark: SparkSession, d: str) -> DataFrame:
+    return windows.top_contribution(*_observed(spark, d))
+
+
+_SCHEMA = (
+    "<SegmentationSchema><BlacklistedSegments><EnumeratedDimension field='event_type'><Selection value='signup'/></EnumeratedDimension></BlacklistedSegments>"
+    "<WhitelistedSegments><EnumeratedDimension field='event_type'><Selection value='click'/></EnumeratedDimension><PartitionedDimension field='value'><Partition low='0' high='100' divisions='4'/></PartitionedDimension></WhitelistedSegments>"
+    "<GenericSegment><EnumeratedDimension field='event_type'/></GenericSegment></SegmentationSchema>"
+)
+
+
+@query(
+    "stream_segmentation",
+    "SELECT event_id, CASE WHEN event_type = 'click' AND value >= 0 AND value < 100 THEN concat('event_type=click,value=0..100#', CAST(floor(value / 25) AS INTEGER)) ELSE concat('event_type=', event_type) END AS segment FROM events WHERE event_type <> 'signup'",
+)
+def stream_segmentation(spark: SparkSession, d: str) -> DataFrame:
+    return segments.segment_key(_events(spark, d), ir.load(_SCHEMA)).select("event_id", "segment")
+
+
+@query("stream_maturity", f"SELECT event_id, CASE WHEN row_number() OVER ({_W}) > 3 THEN round((value - 50) / sqrt(2000.0), 6) END AS score FROM events")
+def stream_maturity(spark: SparkSession, d: str) -> DataFrame:
+    z = segments.zero_variance(F.col("value"), F.lit(50.0), F.lit(2000.0))
+    return segments.mature(_events(spark, d), "user_id", ["event_id"], 3, F.round(z, 6)).select("event_id", "score")
+
+
+@query("agg_map_reduce", "SELECT event_type AS key, round(sum(value), 2) AS total, count(*) AS n FROM events GROUP BY 1")
+def agg_map_reduce(spark: SparkSession, d: str) -> DataFrame:
+    shrink = lambda g: g.groupby("key", as_index=False).agg({"total": "sum", "n": "sum"})
+    made = mapreduce.map_reduce(_events(spark, d).select("event_type", "value"), lambda f: f.rename(columns={"event_type": "key", "value": "total"}).assign(n=1), "key string, total double, n long", shrink, "key string, total double, n long", "key", shrink)
+    return made.withColumn("total", F.round("total", 2))
+
+
+@query("agg_grouped_view", "SELECT n_nationkey, n_regionkey AS g, CAST(sum(CASE WHEN n_regionkey = 2 THEN n_nationkey END) OVER (ORDER BY n_nationkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS two FROM nation")
+def agg_grouped_view(spark: SparkSession, d: str) -> DataFrame:
+    made = windows.grouped_view(table(spark, d, "nation"), "n_regionkey", F.col("n_nationkey"), ("n_nationkey",), "m")
+    return made.select("n_nationkey", F.col("n_regionkey").alias("g"), F.try_element_at("m", F.lit(2)).cast("bigint").alias("two"))

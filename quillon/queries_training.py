@@ -103,6 +103,35 @@ def train_split_gain_numeric(spark: SparkSession, d: str) -> DataFrame:
     return trainers.split_gains(rows, "node", "y", ("l_quantity",), ()).select(F.col("cut").cast("double").alias("cut"), F.round("gain", 9).alias("gain"))
 
 
+_G = "({t} - ({a} * {a} + ({t} - {a}) * ({t} - {a})) / {t})"
+
+
+@query(
+    "train_split_gain_gini",
+    "WITH r AS (SELECT o_orderpriority AS v, (o_orderstatus = 'F')::INT * 1.0 AS y FROM orders), t AS (SELECT count(*) * 1.0 AS t, sum(y) AS a FROM r), g AS (SELECT v, count(*) * 1.0 AS l, sum(y) AS al FROM r GROUP BY 1) "
+    f"SELECT v AS cut, round(({_G.format(a='a', t='t')} - {_G.format(a='al', t='l')} - {_G.format(a='(a - al)', t='(t - l)')}) / t, 12) AS gain FROM g, t",
+)
+def train_split_gain_gini(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.lit("n").alias("node"), "o_orderpriority", (F.col("o_orderstatus") == "F").alias("y"))
+    return trainers.split_gains(rows, "node", "y", (), ("o_orderpriority",), impurity="gini").select("cut", F.round("gain", 12).alias("gain"))
+
+
+@query(
+    "train_split_gain_regression",
+    "WITH s AS (SELECT l_tax AS v, count(*) * 1.0 AS n, sum(l_quantity) AS a, sum(l_quantity * l_quantity) AS b FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b FROM s), g AS (SELECT v, lead(v) OVER (ORDER BY v) AS up, sum(n) OVER (ORDER BY v) AS n, sum(a) OVER (ORDER BY v) AS a, sum(b) OVER (ORDER BY v) AS b FROM s) "
+    "SELECT round((v + up) / 2, 9) AS cut, round((t.b - t.a * t.a / t.n) - (g.b - g.a * g.a / g.n) - ((t.b - g.b) - (t.a - g.a) * (t.a - g.a) / (t.n - g.n)), 3) AS gain FROM g, t WHERE up IS NOT NULL",
+)
+def train_split_gain_regression(spark: SparkSession, d: str) -> DataFrame:
+    rows = _lines(spark, d).select(F.lit("n").alias("node"), "l_tax", "l_quantity")
+    return trainers.regression_gains(rows, "node", "l_quantity", ("l_tax",), ()).select(F.round(F.col("cut").cast("double"), 9).alias("cut"), F.round("gain", 3).alias("gain"))
+
+
+@query("train_tree_regression")
+def train_tree_regression(spark: SparkSession, d: str) -> DataFrame:
+    doc = trainers.grow_tree(_lines(spark, d), "l_extendedprice", ("l_quantity", "l_discount"), ("l_returnflag",), depth=3, regression=True)
+    return models.score(_lines(spark, d), doc, _LINE_KEY, ("entityId",))
+
+
 def _tree(spark: SparkSession, d: str) -> ir.Node:
     return trainers.grow_tree(_lines(spark, d), "l_returnflag", ("l_quantity", "l_extendedprice"), ("l_linestatus",), depth=3, least_gain=1e-5)
 

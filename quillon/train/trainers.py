@@ -163,22 +163,51 @@ def clustering_document(found: Clusters, fields: Sequence[str]) -> Node:
 # Trees.
 
 
-def split_gains(df: DataFrame, node: str, target: str, numeric: Sequence[str], categorical: Sequence[str], bins: int | None = None) -> DataFrame:
+def _binned(base: DataFrame, numeric: Sequence[str], bins: int | None) -> DataFrame:
+    """Numeric values rounded up to quantiles; those above the last take a value of their own."""
+    if not bins or not numeric:
+        return base
+    edges = base.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in numeric]).first()
+    for f in numeric:
+        cuts = sorted(set(edges[f] or []))
+        if cuts:
+            base = base.withColumn(f, F.coalesce(*[F.when(F.col(f) <= c, F.lit(float(c))) for c in cuts], F.when(F.col(f).isNotNull(), F.lit(math.nextafter(cuts[-1], math.inf) + 1.0))))
+    return base
+
+
+def _entries(numeric: Sequence[str], categorical: Sequence[str]) -> list[Column]:
+    out = [F.struct(F.lit(f).alias("field"), F.lit("numeric").alias("kind"), F.col(f).cast("double").alias("v"), F.lit(None).cast("string").alias("s")) for f in numeric]
+    return out + [F.struct(F.lit(f).alias("field"), F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("v"), F.col(f).cast("string").alias("s")) for f in categorical]
+
+
+def regression_gains(df: DataFrame, node: str, target: str, numeric: Sequence[str], categorical: Sequence[str], bins: int | None = None) -> DataFrame:
+    """As split_gains for a numeric target: n·var of the parent less n·var of both parts."""
+    base = _binned(df.where(F.col(target).isNotNull()), numeric, bins)
+    cells = base.select(F.col(node).alias("node"), F.col(target).cast("double").alias("y"), F.explode(F.array(*_entries(numeric, categorical))).alias("e")).select("node", "y", "e.*").where("v is not null or s is not null")
+    sums = cells.groupBy("node", "field", "kind", "v", "s").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("a"), F.sum(F.col("y") * F.col("y")).alias("b"))
+    group = W.partitionBy("node", "field")
+    upto = group.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    cat = F.col("kind") == "categorical"
+    sums = sums.withColumns({f"l{c}": F.when(cat, F.col(c)).otherwise(F.sum(c).over(upto)) for c in "nab"} | {f"t{c}": F.sum(c).over(group) for c in "nab"} | {"up": F.lead("v").over(group.orderBy("v"))})
+    sums = sums.where("ln < tn")
+    spread = lambda n, a, b: b - a * a / n
+    left, whole = [F.col(f"l{c}") for c in "nab"], [F.col(f"t{c}") for c in "nab"]
+    gain = spread(*whole) - spread(*left) - spread(*[t - v for t, v in zip(whole, left, strict=True)])
+    cut = F.when(cat, F.col("s")).otherwise(((F.col("v") + F.coalesce("up", "v")) / 2).cast("string"))
+    return sums.select("node", "field", "kind", cut.alias("cut"), gain.alias("gain"), F.col("ln").cast("long").alias("rows_left"), F.col("tn").cast("long").alias("rows"))
+
+
+def split_gains(df: DataFrame, node: str, target: str, numeric: Sequence[str], categorical: Sequence[str], bins: int | None = None, impurity: str = "entropy") -> DataFrame:
     """(node, field, kind, cut, gain, rows_left, rows): the gain of every binary split of every node.
 
     Numeric: value <= cut against above, cuts midway between neighbouring values; categorical: one value
     against the rest. Gain is the entropy (base 2) of the parent less the weighted entropy of the parts.
     Counts by (node, field, value, class) come before any window, so windows run over values, not rows.
-    ``bins`` first rounds numeric values to that many quantiles.
+    ``bins`` first rounds numeric values to that many quantiles. With ``impurity="gini"`` the Gini index
+    takes the entropy's place.
     """
-    base = df.where(F.col(target).isNotNull())
-    if bins:
-        edges = base.agg(*[F.percentile_approx(f, [i / bins for i in range(1, bins)], 10_000).alias(f) for f in numeric]).first() if numeric else {}
-        for f in numeric:
-            cuts = sorted(set(edges[f] or []))
-            base = base.withColumn(f, F.coalesce(*[F.when(F.col(f) <= c, F.lit(float(c))) for c in cuts], F.when(F.col(f).isNotNull(), F.lit(math.nextafter(cuts[-1], math.inf) + 1.0))) if cuts else F.col(f))
-    entries = [F.struct(F.lit(f).alias("field"), F.lit("numeric").alias("kind"), F.col(f).cast("double").alias("v"), F.lit(None).cast("string").alias("s")) for f in numeric]
-    entries += [F.struct(F.lit(f).alias("field"), F.lit("categorical").alias("kind"), F.lit(None).cast("double").alias("v"), F.col(f).cast("string").alias("s")) for f in categorical]
+    base = _binned(df.where(F.col(target).isNotNull()), numeric, bins)
+    entries = _entries(numeric, categorical)
     cells = base.select(F.col(node).alias("node"), F.col(target).cast("string").alias("y"), F.explode(F.array(*entries)).alias("e")).select("node", "y", "e.*").where("v is not null or s is not null")
     counts = cells.groupBy("node", "field", "kind", "v", "s", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
     group = W.partitionBy("node", "field", "y")
@@ -190,25 +219,31 @@ def split_gains(df: DataFrame, node: str, target: str, numeric: Sequence[str], c
     full = values.join(classes, ["node", "field"])
     joined = full.alias("f").join(counts.select("node", "field", "v", "s", "y", "left").alias("c"), (F.col("f.node") == F.col("c.node")) & (F.col("f.field") == F.col("c.field")) & (F.col("f.y") == F.col("c.y")) & F.col("f.v").eqNullSafe(F.col("c.v")) & F.col("f.s").eqNullSafe(F.col("c.s")), "left").select("f.*", "c.left")
     filled = joined.withColumn("left", F.when(F.col("kind") == "categorical", F.coalesce("left", F.lit(0.0))).otherwise(F.coalesce(F.last("left", ignorenulls=True).over(W.partitionBy("node", "field", "y").orderBy("v").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))))
-    x = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(c)).otherwise(0.0)
+    if impurity not in ("entropy", "gini"):
+        raise ValueError(f"unknown impurity {impurity!r}")
+    x = lambda c: F.when(F.col(c) > 0, F.col(c) * (F.log2(c) if impurity == "entropy" else F.col(c))).otherwise(0.0)
     filled = filled.withColumn("right", F.col("total") - F.col("left"))
     sums = filled.groupBy("node", "field", "kind", "v", "s").agg(F.sum("left").alias("l"), F.sum("right").alias("r"), F.sum("total").alias("t"), F.sum(x("left")).alias("xl"), F.sum(x("right")).alias("xr"), F.sum(x("total")).alias("xt"))
     sums = sums.where("l > 0 and r > 0")
     after = F.lead("v").over(W.partitionBy("node", "field").orderBy("v"))
-    entropy_parent = F.log2("t") - F.col("xt") / F.col("t")
-    entropy_parts = (F.col("l") * F.log2("l") - F.col("xl") + F.col("r") * F.log2("r") - F.col("xr")) / F.col("t")
+    if impurity == "entropy":
+        before = F.log2("t") - F.col("xt") / F.col("t")
+        parts = (F.col("l") * F.log2("l") - F.col("xl") + F.col("r") * F.log2("r") - F.col("xr")) / F.col("t")
+    else:
+        before = 1 - F.col("xt") / (F.col("t") * F.col("t"))
+        parts = (F.col("l") - F.col("xl") / F.col("l") + F.col("r") - F.col("xr") / F.col("r")) / F.col("t")
     nexts = values.where("kind = 'numeric'").withColumn("up", after).select("node", "field", "v", "up")
     out = sums.join(nexts, ["node", "field", "v"], "left")
     cut = F.when(F.col("kind") == "numeric", ((F.col("v") + F.coalesce("up", "v")) / 2).cast("string")).otherwise(F.col("s"))
-    return out.select("node", "field", "kind", cut.alias("cut"), (entropy_parent - entropy_parts).alias("gain"), F.col("l").cast("long").alias("rows_left"), F.col("t").cast("long").alias("rows"))
+    return out.select("node", "field", "kind", cut.alias("cut"), (before - parts).alias("gain"), F.col("l").cast("long").alias("rows_left"), F.col("t").cast("long").alias("rows"))
 
 
 def _label(counts: Sequence[tuple[str, int]]) -> str:
     return max(sorted(counts), key=lambda c: c[1])[0]
 
 
-def grow_tree(df: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), depth: int = 5, least_rows: int = 2, least_gain: float = 0.0, bins: int | None = 64) -> Node:
-    """A classification tree grown level by level: each level is one aggregate over all rows and all open nodes.
+def grow_tree(df: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), depth: int = 5, least_rows: int = 2, least_gain: float = 0.0, bins: int | None = 64, impurity: str = "entropy", regression: bool = False) -> Node:
+    """A classification or regression tree grown level by level: each level is one aggregate over all rows and all open nodes.
 
     The best split of each node, a row a node, and its class counts reach the driver. Ties go to the first
     field and cut by name.
@@ -222,13 +257,21 @@ def grow_tree(df: DataFrame, target: str, numeric: Sequence[str] = (), categoric
     tallies: dict[str, list[tuple[str, int]]] = {}
     open_nodes = {"n"}
     for level in range(depth + 1):
-        for r in rows.where(F.col("__node").isin(list(open_nodes))).groupBy("__node", F.col(target).cast("string").alias("y")).count().collect():
-            tallies.setdefault(r["__node"], []).append((r["y"], r["count"]))
-        pure = {k for k in open_nodes if len(tallies.get(k, [])) < 2 or sum(c for _, c in tallies[k]) < least_rows}
+        here = rows.where(F.col("__node").isin(list(open_nodes)))
+        if regression:
+            found = here.groupBy("__node").agg(F.count(F.lit(1)).alias("count"), F.avg(target).alias("y"), F.min(target).alias("a"), F.max(target).alias("b")).collect()
+            for r in found:
+                tallies[r["__node"]] = [(repr(float(r["y"])), r["count"])]
+            pure = {k for k in open_nodes if k not in tallies} | {r["__node"] for r in found if r["a"] == r["b"] or r["count"] < least_rows}
+        else:
+            for r in here.groupBy("__node", F.col(target).cast("string").alias("y")).count().collect():
+                tallies.setdefault(r["__node"], []).append((r["y"], r["count"]))
+            pure = {k for k in open_nodes if len(tallies.get(k, [])) < 2 or sum(c for _, c in tallies[k]) < least_rows}
         open_nodes -= pure
         if level == depth or not open_nodes:
             break
-        gains = split_gains(rows.where(F.col("__node").isin(list(open_nodes))), "__node", target, numeric, categorical, bins)
+        left = rows.where(F.col("__node").isin(list(open_nodes)))
+        gains = regression_gains(left, "__node", target, numeric, categorical, bins) if regression else split_gains(left, "__node", target, numeric, categorical, bins, impurity)
         best = gains.where(F.col("gain") > least_gain + 1e-12).groupBy("node").agg(F.min(F.struct((-F.round("gain", 12)).alias("g"), "field", "cut", "kind")).alias("b")).collect()
         fresh, steps = set(), None
         for r in best:
@@ -250,11 +293,11 @@ def grow_tree(df: DataFrame, target: str, numeric: Sequence[str] = (), categoric
             f, kind, cut = splits[k]
             yes, no = ("lessOrEqual", "greaterThan") if kind == "numeric" else ("equal", "notEqual")
             kids = [build(name(k, hit), Node("SimplePredicate", {"field": f, "operator": op, "value": cut})) for hit, op in ((True, yes), (False, no))]
-        spread = [Node("ScoreDistribution", {"value": v, "recordCount": str(c)}) for v, c in sorted(counts)]
+        spread = [] if regression else [Node("ScoreDistribution", {"value": v, "recordCount": str(c)}) for v, c in sorted(counts)]
         return Node("Node", {"id": k, "score": _label(counts) if counts else "", "recordCount": str(sum(c for _, c in counts))}, [predicate, *spread, *kids])
 
     fields = [*numeric, *categorical]
-    model = Node("TreeModel", {"functionName": "classification", "splitCharacteristic": "binarySplit", "noTrueChildStrategy": "returnLastPrediction"}, [Node("MiningSchema", {}, [Node("MiningField", {"name": f}) for f in fields]), build("n", Node("True"))])
+    model = Node("TreeModel", {"functionName": "regression" if regression else "classification", "splitCharacteristic": "binarySplit", "noTrueChildStrategy": "returnLastPrediction"}, [Node("MiningSchema", {}, [Node("MiningField", {"name": f}) for f in fields]), build("n", Node("True"))])
     declared = [Node("DataField", {"name": f, "optype": "continuous" if f in numeric else "categorical", "dataType": "double" if f in numeric else "string"}) for f in fields]
     return Node("PMML", {"version": "4.1"}, [Node("DataDictionary", {}, declared), model])
 

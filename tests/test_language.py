@@ -139,6 +139,12 @@ def test_tree_grows_and_reproduces(spark):
     assert models.score(df.limit(0), doc).count() == 0
 
 
+def test_regression_tree(spark):
+    df = rows(spark, [(float(i), "a", 10.0 if i < 7 else 50.0 if i < 15 else 90.0) for i in range(20)], "x double, c string, y double")
+    doc = trainers.grow_tree(df, "y", ("x",), ("c",), depth=3, bins=None, regression=True)
+    assert all(r.score == r.y for r in models.score(df, doc, ("x", "y")).collect())
+
+
 def test_k_means_keeps_empty_clusters(spark):
     df = rows(spark, [(0.0, 0.0), (0.2, 0.0), (9.0, 9.0), (None, 1.0)], "a double, b double")
     found = trainers.k_means(df, ("a", "b"), [(0, 0), (10, 10), (500, 500)], 5)
