@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon import formula
 from quillon.mcol import INVALID, MISSING, VALID, MCol, literal, propagate
-from quillon.plans.ir import ModelError, Node
+from quillon.plans.ir import ModelError, Node, from_xml
 from quillon.plans.types import SPARK_TYPES, cast, in_interval, read_type
 
 EXPRESSIONS = ("Constant", "FieldRef", "NormContinuous", "NormDiscrete", "Discretize", "MapValues", "Apply", "Formula", "X-ODG-Formula", "CastExpression", "Aggregate", "X-ODG-RegularExpression", "X-ODG-CountSubstrings")
@@ -161,7 +162,22 @@ def _make_discretize(node: Node, scope: Scope) -> MCol:
 def inline_rows(node: Node) -> list[dict[str, str]]:
     """Rows of an InlineTable."""
     table = node.first("InlineTable")
-    return [{c.tag: c.text for c in row.children} for row in table.all("row")] if table else []
+    if table is not None:
+        return [{c.tag: c.text for c in row.children} for row in table.all("row")]
+    located = node.first("TableLocator")
+    return external_rows(located) if located is not None else []
+
+
+def external_rows(located: Node, most: int = 100_000) -> list[dict[str, str]]:
+    """Rows of the XML files an Extension of a TableLocator names (a path or a glob); larger tables go through map_values_join."""
+    out: list[dict[str, str]] = []
+    for e in located.all("Extension"):
+        for path in sorted(glob.glob(e.get("value") or e.need("name"))):
+            with open(path, encoding="utf-8") as text:
+                out += [{c.tag: c.text for c in row.children} for row in from_xml(text.read()).children]
+            if len(out) > most:
+                raise ModelError(f"the located table has more than {most} rows")
+    return out
 
 
 def _make_map_values(node: Node, scope: Scope) -> MCol:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -60,8 +61,13 @@ def cast(col: MCol, kind: FieldType) -> MCol:
     Where valid values are declared anything else is invalid; else anything not declared invalid is valid.
     """
     raw = col.value
-    value = raw.try_cast(kind.spark)
     text = raw.cast("string")
+    value = _since(text, kind.data_type) if _EPOCH.match(kind.data_type) else raw.try_cast(kind.spark)
+    if kind.cyclic:
+        ends = [v for _, a, b in kind.intervals for v in (a, b) if v is not None] or [float(v) for v in kind.valid if _numeric(v)]
+        if ends:
+            value = wrap(value, min(ends), max(ends)).cast(kind.spark)
+            text = value.cast("string")
     if kind.spark in ("double", "float"):
         gone = raw.isNull() | F.isnan(F.coalesce(value, F.lit(0.0)))
     else:
@@ -83,6 +89,22 @@ def cast(col: MCol, kind: FieldType) -> MCol:
     return MCol(F.when(mask == VALID, value), mask)
 
 
+_EPOCH = re.compile(r"(dateDays|dateTimeSeconds)Since\[(\d+)\]$|timeSeconds$|time$")
+
+
+def _since(text: Column, data_type: str) -> Column:
+    """Days or seconds since a year's start from a number, a date or a timestamp; times of day modulo one day."""
+    m = _EPOCH.match(data_type)
+    if m[1] is None:
+        parts = F.split(text, ":")
+        clock = parts[0].try_cast("bigint") * 3600 + parts[1].try_cast("bigint") * 60 + parts[2].try_cast("double").cast("bigint")
+        return F.pmod(F.coalesce(text.try_cast("bigint"), F.when(F.size(parts) == 3, clock)), F.lit(86_400))
+    epoch = f"{int(m[2]):04d}-01-01"
+    if m[1] == "dateDays":
+        return F.coalesce(text.try_cast("bigint"), F.date_diff(text.try_cast("date"), F.to_date(F.lit(epoch))).cast("bigint"))
+    return F.coalesce(text.try_cast("bigint"), F.unix_seconds(text.try_cast("timestamp")) - F.unix_seconds(F.lit(epoch).cast("timestamp")))
+
+
 def wrap(value: Column, first: float, last: float) -> Column:
     """A cyclic value brought back into [first, last] after arithmetic."""
     return F.pmod(value - first, F.lit(last - first + 1)) + first

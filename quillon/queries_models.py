@@ -63,6 +63,11 @@ _transform("xf_declared_values", "<DerivedField name='r'><FieldRef field='w'/></
 _transform("xf_interval_validity", "<DerivedField name='r'><FieldRef field='x'/></DerivedField>", "CASE WHEN x > -10 AND x <= 40 THEN x END", mask_sql="CASE WHEN x IS NULL THEN 1 WHEN x > -10 AND x <= 40 THEN 0 ELSE 2 END", fields=_EVENT_FIELDS.replace("<DataField name='x' optype='continuous' dataType='double'/>", "<DataField name='x' optype='continuous' dataType='double'><Interval closure='openClosed' leftMargin='-10' rightMargin='40'/></DataField>"))
 
 
+_transform("xf_cyclic", "<DerivedField name='r' dataType='integer' optype='ordinal' isCyclic='1'><Interval closure='closedClosed' leftMargin='1' rightMargin='7'/><Formula>i * 3 + k</Formula></DerivedField>", "((i * 3 + k - 1) % 7 + 7) % 7 + 1")
+_transform("xf_days_since", "<DerivedField name='r' dataType='dateDaysSince[1980]' optype='continuous'><FieldRef field='t'/></DerivedField>", "date_diff('day', DATE '1980-01-01', t::DATE)")
+_transform("xf_seconds_since", "<DerivedField name='r' dataType='dateTimeSecondsSince[1970]' optype='continuous'><FieldRef field='t'/></DerivedField>", "floor(epoch_us(t) / 1000000.0)")
+
+
 @query("xf_fan_out", "SELECT event_id, CAST(event_type = 'click' AS DOUBLE) AS is_click FROM events")
 def xf_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return expressions.fan_out_by_value(table(spark, d, "events"), "event_type", "is_").select("event_id", "is_click")

@@ -180,6 +180,16 @@ def stream_online_zvalue(spark: SparkSession, d: str) -> DataFrame:
     return online.drain(made, _scratch(spark, "online")).withColumn("z", F.round("z", 5))
 
 
+@query("stream_learning", "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 5) AS variance FROM events GROUP BY 1")
+def stream_learning(spark: SparkSession, d: str) -> DataFrame:
+    """Moments learnt over several micro-batches equal those of one batch."""
+    rows, path, out = table(spark, d, "events"), _scratch(spark, "parts"), _scratch(spark, "learnt")
+    rows.repartition(4, "event_id").write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    online.learn_stream(stream, "value", ("event_type",), _scratch(spark, "state"), lambda model, n: model.write.mode("overwrite").parquet(out), 1, _scratch(spark, "checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("variance", 5).alias("variance"))
+
+
 @query("stream_scored", "SELECT event_id, round((value - 50) / sqrt(2000.0), 6) AS score FROM events")
 def stream_scored(spark: SparkSession, d: str) -> DataFrame:
     doc = ir.load("<PMML version='4.1'><DataDictionary><DataField name='value' optype='continuous' dataType='double'/></DataDictionary><BaselineModel functionName='regression'><MiningSchema><MiningField name='value'/></MiningSchema><TestDistributions field='value' testStatistic='zValue'><Baseline><GaussianDistribution mean='50' variance='2000'/></Baseline></TestDistributions></BaselineModel></PMML>")

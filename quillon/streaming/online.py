@@ -86,3 +86,29 @@ def drain(frame: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query = frame.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/data")
+
+
+def learn_stream(stream: DataFrame, x: str, by: tuple[str, ...], state_path: str, write: Callable[[DataFrame, int], None], every: int, checkpoint: str):
+    """Online training: moments of each segment are merged batch by batch and handed to ``write`` each time
+    ``every`` more rows are known, and at the end of a batch that finishes the input.
+
+    ``by`` names at least one column. The state is a table of (segment, n, mean, m2), one version a batch, so a batch that is run again
+    starts from the version before it.
+    """
+    spark = stream.sparkSession
+
+    def each(batch: DataFrame, number: int) -> None:
+        new = batch.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
+        if number:
+            old = spark.read.parquet(f"{state_path}/v{number - 1}").select(*by, *[F.col(c).alias(f"o_{c}") for c in ("n", "mean", "m2")])
+            both = new.join(old, list(by), "full").na.fill(0, ["n", "o_n"]).na.fill(0.0, ["mean", "m2", "o_mean", "o_m2"])
+            total, gap = F.col("n") + F.col("o_n"), F.col("mean") - F.col("o_mean")
+            new = both.select(*by, total.alias("n"), (F.col("o_mean") + gap * F.col("n") / total).alias("mean"), (F.col("m2") + F.col("o_m2") + gap * gap * F.col("n") * F.col("o_n") / total).alias("m2"))
+        new.write.mode("overwrite").parquet(f"{state_path}/v{number}")
+        now = spark.read.parquet(f"{state_path}/v{number}")
+        rows = now.agg(F.sum("n").alias("n")).first()["n"] or 0
+        before = (spark.read.parquet(f"{state_path}/v{number - 1}").agg(F.sum("n").alias("n")).first()["n"] or 0) if number else 0
+        if rows // every > before // every:
+            write(now.withColumn("variance", F.when(F.col("n") >= 2, F.col("m2") / (F.col("n") - 1))), number)
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
