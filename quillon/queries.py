@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon import queries_functions, queries_models, queries_tables, queries_training  # noqa: F401
 from quillon.operators import nested_xml, reject_rows, rolling, spatial, spikes
 from quillon.registry import QUERIES, SQL, query
-from quillon.session import folded, table
+from quillon.session import folded, materialise, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -76,7 +76,8 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p2_found", _POINTS + _NEAR + _INSIDE + "SELECT * FROM near UNION ALL SELECT * FROM inside")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    points = _points(spark, d)
+    # Used three times: the ids are settled once.
+    points = materialise(_points(spark, d), "points")
     near = spatial.near_pairs(points).select(F.lit("near").alias("found_kind"), "left_id", "right_id")
     inside = spatial.inside_regions(points, table(spark, d, "aoi_regions"))
     return near.unionByName(inside.select(F.lit("inside").alias("found_kind"), F.col("id").alias("left_id"), F.col("region").alias("right_id")))
