@@ -129,26 +129,34 @@ def region_edges(regions: DataFrame, id_col: str = "region_id", wkt: str = "boun
     return edges.select("region", "ring", "turn", *((F.col(c) + F.col("turn")).alias(c) for c in ("x1", "x2", "west", "east")), "y1", "y2")
 
 
-def inside_regions(points: DataFrame, regions: DataFrame, strip: float = 0.25, tile: float = 1.0, salts: int = 4, boundary_inside: bool = True, **region_cols: str) -> DataFrame:
+def inside_regions(points: DataFrame, regions: DataFrame, strip: float = 0.25, tile: float = 1.0, salts: int = 16, boundary_inside: bool = True, broadcast_rows: int = 500_000, **region_cols: str) -> DataFrame:
     """(id, region) for every region whose polygon, without its holes, contains the point.
 
     A ray runs east from the point; an edge is crossed when exactly one end lies above the point, so a
     vertex counts once. Points on an edge are told apart exactly: ``boundary_inside`` says whether they
     belong. An edge is binned into each latitude strip it spans and each longitude tile from its region's
-    west end to its own east end, as only points there can cross it. The edges repeat ``salts`` times so
-    that a strip with a third of all points is spread.
+    west end to its own east end, as only points there can cross it. Binned edges are counted: up to
+    ``broadcast_rows`` they are sent to all points; beyond, points are salted and edges repeated ``salts``
+    times, so that a strip with a third of all points is spread.
     """
     edges = region_edges(regions, **region_cols)
     edges = edges.withColumn("strip", F.explode(F.sequence(F.floor(F.least("y1", "y2") / strip), F.floor(F.greatest("y1", "y2") / strip))))
     edges = edges.withColumn("tile", F.explode(F.sequence(F.floor(F.greatest(F.col("west"), F.lit(-180.0)) / tile), F.floor(F.least(F.greatest("x1", "x2"), F.lit(180.0)) / tile))))
-    edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    pts = points.select("id", "lat", "lon", F.floor(F.col("lat") / strip).alias("strip"), F.floor(F.col("lon") / tile).alias("tile"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    edges = materialise(edges, "edges")
+    pts = points.select("id", "lat", "lon", F.floor(F.col("lat") / strip).alias("strip"), F.floor(F.col("lon") / tile).alias("tile"))
+    keys = ["strip", "tile"]
+    if edges.count() <= broadcast_rows:
+        edges = F.broadcast(edges)
+    else:
+        edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        pts = pts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        keys.append("salt")
     x, y = F.col("lon"), F.col("lat")
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     at = F.col("x1") + (F.col("x2") - F.col("x1")) * F.try_divide(y - F.col("y1"), F.col("y2") - F.col("y1"))
     crosses = (low <= y) & (high > y) & (x < at)
     on = F.when(F.col("y1") == F.col("y2"), (y == F.col("y1")) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2"))).otherwise(y.between(low, high) & (x == at))
-    hits = pts.join(edges, ["strip", "tile", "salt"]).filter(x.between(F.col("west"), F.col("east")))
+    hits = pts.join(edges, keys).filter(x.between(F.col("west"), F.col("east")))
     hits = hits.select("id", "region", "turn", crosses.cast("int").alias("c"), on.cast("int").alias("o")).filter("c = 1 or o = 1")
     by = hits.groupBy("id", "region", "turn").agg(F.sum("c").alias("c"), F.max("o").alias("o"))
     found = (F.col("o") == 1) if boundary_inside else F.lit(False)

@@ -52,6 +52,7 @@ def test_inside_boundaries_holes_and_date_line(spark):
     p = points(spark, [(*r, None) for r in rows])
     found = {tuple(r) for r in S.inside_regions(p, regions).collect()}
     assert found == {(2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2), (8, 2), (9, 3), (10, 3)}
+    assert {tuple(r) for r in S.inside_regions(p, regions, broadcast_rows=0).collect()} == found
     strict = {tuple(r) for r in S.inside_regions(p, regions, boundary_inside=False).collect()}
     assert strict == {(2, 1), (7, 2), (8, 2), (9, 3), (10, 3)}
     assert S.inside_regions(p, regions.limit(0)).count() == 0
