@@ -94,7 +94,7 @@ def splitting_tree(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_tokens: int = 20_000, shard_tokens: int = 2_000_000, buckets: int = 64, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, block_tokens: int = 20_000, shard_tokens: int = 2_000_000, most_shards: int = 10_000, bucket_docs: int = 100_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(draws, shares) of a mixture.
 
     draws: doc_id, source, use (from 1), shard, place (in its shard), tokens. shares: source, target_pct,
@@ -103,29 +103,36 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, bloc
     Documents of a null source or one without a target, and those without tokens, are left out; a source
     without documents is reported with 0. A doc_id counts once. No document is used more than its source's
     max_repeats. A source's tokens are met to within one document from below. Null targets count as 0.
-    Only per-source totals, of as many rows as there are targets, and the shard plan reach the driver.
+    Only per-source totals, of as many rows as there are targets, and the shard plan reach the driver: the
+    shards grow once there would be more than ``most_shards``. Documents are ordered in buckets of about
+    ``bucket_docs``, so a source with a third of all documents is ordered by many tasks.
     """
     spark = sizes.sparkSession
     goal = {r["source"]: (float(r["target_pct"] or 0), int(r["max_repeats"] or 0)) for r in targets.filter("source is not null").groupBy("source").agg(F.max("target_pct").alias("target_pct"), F.max("max_repeats").alias("max_repeats")).toLocalIterator()}
     wanted = F.col("source").isin(list(goal)) & (F.col("tokens") > 0)
     sizes = sizes.filter(wanted).groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("s")).select("doc_id", "s.*")
-    have = {r["source"]: int(r["t"]) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("t")).toLocalIterator()}
+    known = [(r["source"], int(r["t"]), int(r["n"])) for r in sizes.groupBy("source").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).toLocalIterator()]
+    have = {s: t for s, t, _ in known}
+    buckets = max(1, -(-max((n for *_, n in known), default=0) // bucket_docs))
     quota = plan_quotas(have, goal, total)
     names = sorted(quota)
     n_blocks = np.array([-(-quota[s] // block_tokens) for s in names], np.int64)
-    shards = max(1, -(-sum(quota.values()) // shard_tokens))
+    shards = min(most_shards, max(1, -(-sum(quota.values()) // shard_tokens)))
     dealt = splitting_tree(n_blocks, shards, seed) if names else np.zeros((1, 0), np.int64)
     ranges = []
     for k, s in enumerate(names):
         upto = np.cumsum(dealt[:, k])
         ranges += [(s, i, int(upto[i] - dealt[i, k]), int(upto[i])) for i in range(shards) if dealt[i, k]]
+    # Ranges are met by groups of blocks, so that a block is compared with the few ranges near it only.
+    group = max(1, int(np.median([b - a for *_, a, b in ranges])) if ranges else 1)
     dealt_to = spark.createDataFrame(ranges, "source string, shard int, from_block long, to_block long")
+    dealt_to = dealt_to.withColumn("near", F.explode(F.sequence(F.floor(F.col("from_block") / group), F.floor((F.col("to_block") - 1) / group))))
     # A bijection of each source's blocks: place -> place * stride + 1 modulo their number.
     stride = [next(a for a in range(max(1, int(n * 0.618)), int(n) + 2) if np.gcd(a, int(n)) == 1) for n in n_blocks]
     facts = spark.createDataFrame([(s, have[s], quota[s], int(n), int(a)) for s, n, a in zip(names, n_blocks, stride, strict=True)], "source string, have long, quota long, n_blocks long, stride long")
 
     uses = sizes.join(F.broadcast(facts), "source").withColumn("use", F.explode(F.sequence(F.lit(1), F.ceil(F.col("quota") / F.col("have")).cast("int"))))
-    uses = uses.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id", "use")).withColumn("bucket", F.pmod(F.shiftright("rank", 40), F.lit(buckets)).cast("int"))
+    uses = uses.withColumn("rank", F.xxhash64(F.lit(seed), "doc_id", "use")).withColumn("bucket", F.floor((F.shiftrightunsigned("rank", 33) * F.lit(buckets)) / F.lit(1 << 31)).cast("int"))
     part = W.partitionBy("source", "use", "bucket").orderBy("rank", "doc_id")
     sums = uses.groupBy("source", "use", "bucket").agg(F.sum("tokens").alias("bt"))
     before = W.partitionBy("source", "use").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -133,7 +140,8 @@ def mixture(sizes: DataFrame, targets: DataFrame, total: int | None = None, bloc
     laid = uses.join(sums, ["source", "use", "bucket"]).withColumn("at", (F.col("use") - 1) * F.col("have") + F.col("base") + F.sum("tokens").over(part.rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens"))
     laid = laid.filter(F.col("at") + F.col("tokens") <= F.col("quota"))
     laid = laid.withColumn("block", F.pmod(F.floor(F.col("at") / block_tokens) * F.col("stride") + 1, F.col("n_blocks")))
-    placed = laid.join(F.broadcast(dealt_to) if len(ranges) <= 100_000 else dealt_to, "source").filter((F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block")))
+    laid = laid.withColumn("near", F.floor(F.col("block") / group))
+    placed = laid.join(F.broadcast(dealt_to) if len(ranges) <= 100_000 else dealt_to, ["source", "near"]).filter((F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block")))
     local = W.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "use"), "doc_id", "use")
     draws = placed.select("doc_id", "source", "use", "shard", F.row_number().over(local).alias("place"), "tokens")
     draws = materialise(draws, "mixture")
