@@ -17,7 +17,7 @@ from quillon.mcol import INVALID, MISSING, VALID, MCol, literal, propagate
 from quillon.plans.ir import ModelError, Node, from_xml
 from quillon.plans.types import SPARK_TYPES, cast, in_interval, read_type
 
-EXPRESSIONS = ("Constant", "FieldRef", "NormContinuous", "NormDiscrete", "Discretize", "MapValues", "Apply", "Formula", "X-ODG-Formula", "CastExpression", "Aggregate", "X-ODG-RegularExpression", "X-ODG-CountSubstrings")
+EXPRESSIONS = ("Constant", "FieldRef", "NormContinuous", "NormDiscrete", "Discretize", "MapValues", "Apply", "Formula", "CastExpression", "Aggregate", "RegularExpression", "CountSubstrings")
 
 
 @dataclass
@@ -289,7 +289,7 @@ def _make_count_substrings(node: Node, scope: Scope) -> MCol:
         text = F.regexp_replace(F.trim(text), r"\s+", " ")
     n, delimiter = int(node.get("nGramGroups", "1")), node.get("delimiter")
     total = F.lit(0.0)
-    for sub in node.all("X-ODG-Substring"):
+    for sub in node.all("Substring"):
         want = sub.need("value").lower() if node.get("caseSensitive", "1") in ("0", "false") else sub.need("value")
         if delimiter:
             words = F.split(text, re.escape(delimiter))
@@ -303,7 +303,7 @@ def _make_count_substrings(node: Node, scope: Scope) -> MCol:
 
 _MAKERS = {
     "Constant": _make_constant, "FieldRef": _make_field, "NormContinuous": _make_norm_continuous, "NormDiscrete": _make_norm_discrete, "Discretize": _make_discretize, "MapValues": _make_map_values, "Apply": _make_apply,
-    "Formula": _make_formula, "X-ODG-Formula": _make_formula, "CastExpression": _make_cast, "Aggregate": _make_aggregate, "X-ODG-RegularExpression": _make_regex, "X-ODG-CountSubstrings": _make_count_substrings,
+    "Formula": _make_formula, "CastExpression": _make_cast, "Aggregate": _make_aggregate, "RegularExpression": _make_regex, "CountSubstrings": _make_count_substrings,
 }
 
 

@@ -6,6 +6,7 @@ Namespaces are dropped. Content is only data; nothing of it is evaluated.
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -52,11 +53,19 @@ class Node:
             yield from c.walk()
 
 
+def plain_tag(tag: str) -> str:
+    """Vendors' extension elements (X-vendor-Name) go by their name alone; terms that would clash with a standard element keep an X."""
+    m = re.fullmatch(r"X-[A-Za-z]+-(\w+)", tag)
+    if not m:
+        return tag
+    return f"X-{m[1]}" if m[1] == "PredictorTerm" else m[1]
+
+
 def from_xml(text: str) -> Node:
     """Parses XML; raises ModelError if it is not well-formed."""
 
     def turn(e: ET.Element) -> Node:
-        return Node(e.tag.rpartition("}")[2], {k.rpartition("}")[2]: v for k, v in e.attrib.items()}, [turn(c) for c in e if isinstance(c.tag, str)], (e.text or "").strip())
+        return Node(plain_tag(e.tag.rpartition("}")[2]), {k.rpartition("}")[2]: v for k, v in e.attrib.items()}, [turn(c) for c in e if isinstance(c.tag, str)], (e.text or "").strip())
 
     try:
         return turn(ET.fromstring(text))
@@ -68,7 +77,7 @@ def from_json(text: str) -> Node:
     """Parses the JSON rendering: {"tag", "attrs", "children", "text"}."""
 
     def turn(o: dict) -> Node:
-        return Node(o["tag"], {k: str(v) for k, v in o.get("attrs", {}).items()}, [turn(c) for c in o.get("children", [])], o.get("text", ""))
+        return Node(plain_tag(o["tag"]), {k: str(v) for k, v in o.get("attrs", {}).items()}, [turn(c) for c in o.get("children", [])], o.get("text", ""))
 
     return turn(json.loads(text))
 

@@ -280,7 +280,7 @@ def regression_value(table: Node, scope: Scope) -> MCol:
             cols = [scope.find(f.need("field")) for f in p.all("FieldRef")]
             total = total + coefficient * reduce(lambda a, b: a * b, [c.value.cast("double") for c in cols])
             masks += cols
-        elif p.tag == "X-ODG-PredictorTerm":
+        elif p.tag == "X-PredictorTerm":
             raise ModelError("expressions in model text are not evaluated; define a Formula field instead")
     live = [c.mask for c in masks if c.mask is not None]
     if not live:

@@ -57,8 +57,8 @@ _transform("xf_define_function", "<DefineFunction name='spread' optype='continuo
 _transform("xf_formula", "<DerivedField name='r'><Formula>if(x between -10 and 30 and k in {1,2,3}, x ** 2 + k, -y)</Formula></DerivedField>", "CASE WHEN k IN (1, 2, 3) AND x IS NULL THEN pow(x, 2) + k WHEN coalesce(x BETWEEN -10 AND 30, TRUE) AND k IN (1, 2, 3) THEN pow(x, 2) + k ELSE -y END")
 _transform("xf_cast_expression", "<DerivedField name='r'><CastExpression dataType='double' optype='continuous'><Interval closure='closedOpen' leftMargin='0' rightMargin='60'/><FieldRef field='x'/></CastExpression></DerivedField>", "CASE WHEN x >= 0 AND x < 60 THEN x END", mask_sql="CASE WHEN x IS NULL THEN 1 WHEN x >= 0 AND x < 60 THEN 0 ELSE 2 END")
 _transform("xf_apply_missing", "<DerivedField name='r'><Apply function='ln' invalidValueTreatment='asMissing' mapMissingTo='-9'><FieldRef field='x'/></Apply></DerivedField>", "CASE WHEN x > 0 THEN ln(x) ELSE -9 END", mask_sql="0")
-_transform("xf_regex_replace", "<DerivedField name='r'><X-ODG-RegularExpression field='w' pattern='(..)(.)' replacement='\\2-\\1'/></DerivedField>", "concat(substr(w, 3, 1), '-', substr(w, 1, 2))", kind="str")
-_transform("xf_count_substrings", "<DerivedField name='r'><X-ODG-CountSubstrings field='w'><X-ODG-Substring value='c' weight='2'/><X-ODG-Substring value='i' weight='0.5'/></X-ODG-CountSubstrings></DerivedField>", "2 * (length(w) - length(replace(w, 'c', ''))) + 0.5 * (length(w) - length(replace(w, 'i', '')))")
+_transform("xf_regex_replace", "<DerivedField name='r'><X-EXT-RegularExpression field='w' pattern='(..)(.)' replacement='\\2-\\1'/></DerivedField>", "concat(substr(w, 3, 1), '-', substr(w, 1, 2))", kind="str")
+_transform("xf_count_substrings", "<DerivedField name='r'><X-EXT-CountSubstrings field='w'><X-EXT-Substring value='c' weight='2'/><X-EXT-Substring value='i' weight='0.5'/></X-EXT-CountSubstrings></DerivedField>", "2 * (length(w) - length(replace(w, 'c', ''))) + 0.5 * (length(w) - length(replace(w, 'i', '')))")
 _transform("xf_declared_values", "<DerivedField name='r'><FieldRef field='w'/></DerivedField>", "CASE WHEN w = 'click' THEN w END", kind="str", mask_sql="CASE WHEN w = 'view' THEN 1 WHEN w = 'click' THEN 0 ELSE 2 END", fields=_EVENT_FIELDS.replace("<DataField name='w' optype='categorical' dataType='string'/>", "<DataField name='w' optype='categorical' dataType='string'><Value value='click'/><Value value='view' property='missing'/></DataField>"))
 _transform("xf_interval_validity", "<DerivedField name='r'><FieldRef field='x'/></DerivedField>", "CASE WHEN x > -10 AND x <= 40 THEN x END", mask_sql="CASE WHEN x IS NULL THEN 1 WHEN x > -10 AND x <= 40 THEN 0 ELSE 2 END", fields=_EVENT_FIELDS.replace("<DataField name='x' optype='continuous' dataType='double'/>", "<DataField name='x' optype='continuous' dataType='double'><Interval closure='openClosed' leftMargin='-10' rightMargin='40'/></DataField>"))
 
