@@ -26,6 +26,18 @@ def select(df: DataFrame, expressions: str, names: Sequence[str], cuts: str | No
     return out.limit(most) if most is not None else out
 
 
+def apply_rules(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
+    """Named rules, in any order: each formula may use the columns and the other rules; circles raise."""
+    left = {n: formula.parse(t) for n, t in rules.items()}
+    while left:
+        ready = {n: t for n, t in left.items() if not formula.fields(t) & (set(left) - {n}) and n not in formula.fields(t) - set(df.columns)}
+        if not ready:
+            raise formula.FormulaError(f"rules in a circle: {', '.join(sorted(left))}")
+        df = df.withColumns({n: formula.compile_plain(t) for n, t in ready.items()})
+        left = {n: t for n, t in left.items() if n not in ready}
+    return df
+
+
 def add_index(df: DataFrame, order: Sequence[str], out: str = "row_no", pieces: int | None = None) -> DataFrame:
     """Numbers all rows from 0 in order: counts of range partitions give offsets, so no task sees all rows."""
     n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -196,7 +196,7 @@ for _n, (_args, _sql) in _TREES.items():
         return models.score(frame(spark, d), document(_tree_xml(*_args), _EVENT_FIELDS), ("event_id",))
 
 
-@query("model_tree_features", f"{_CTE} SELECT event_id, CASE WHEN x < 0 THEN CASE WHEN y < 3 THEN '2' WHEN y >= 3 THEN '3' ELSE '1' END WHEN x > 10 THEN '4' ELSE '0' END AS entityId, CASE WHEN x < 0 THEN CASE WHEN y IS NULL THEN 0.75 END WHEN x > 10 THEN 0.8 ELSE 0.6 END AS confidence FROM e")
+@query("model_tree_features", f"{_CTE} SELECT event_id, CASE WHEN x < 0 THEN CASE WHEN y < 3 THEN '2' WHEN y >= 3 THEN '3' ELSE '1' END WHEN x > 10 THEN '4' ELSE '0' END AS entityId, CAST(CASE WHEN x < 0 THEN CASE WHEN y IS NULL THEN 0.75 END WHEN x > 10 THEN 0.8 ELSE 0.6 END AS DOUBLE) AS confidence FROM e")
 def model_tree_features(spark: SparkSession, d: str) -> DataFrame:
     return models.score(frame(spark, d), document(_tree_xml("none", "returnLastPrediction"), _EVENT_FIELDS), ("event_id",), ("entityId", "confidence")).drop("score")
 

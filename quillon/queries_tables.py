@@ -62,7 +62,7 @@ def agg_moments(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.var_samp("value"), 6).alias("variance"), F.round(F.covar_pop("value", "user_id"), 6).alias("covariance"), F.round(F.regr_slope("value", "user_id"), 8).alias("slope"))
 
 
-@query("agg_histogram", "WITH b AS (SELECT least(CAST(floor(value / 25) AS INTEGER), 19) AS bin, count(*) * 1.0 AS weight FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1) SELECT CAST(r.i AS INTEGER) AS bin, coalesce(weight, 0) AS weight FROM range(20) r(i) LEFT JOIN b ON b.bin = r.i")
+@query("agg_histogram", "WITH b AS (SELECT least(CAST(floor(value / 25) AS INTEGER), 19) AS bin, count(*) * 1.0 AS weight FROM events WHERE value BETWEEN 0 AND 500 GROUP BY 1) SELECT CAST(r.i AS INTEGER) AS bin, CAST(coalesce(weight, 0) AS DOUBLE) AS weight FROM range(20) r(i) LEFT JOIN b ON b.bin = r.i")
 def agg_histogram(spark: SparkSession, d: str) -> DataFrame:
     return tables.histogram(_events(spark, d), F.col("value"), 20, 0.0, 500.0).select("bin", "weight")
 
@@ -364,7 +364,7 @@ def plot_box(spark: SparkSession, d: str) -> DataFrame:
     return out.select("slice", *[F.round(F.col("levels")[k], 6).alias(f"q{k}") for k in (1, 2, 3)])
 
 
-@query("plot_curve", "SELECT round(i * 0.1, 6) AS x, round(sin(i * 0.1) * 2 + 1, 6) AS y FROM range(101) r(i)")
+@query("plot_curve", "SELECT round(CAST(i * 0.1 AS DOUBLE), 6) AS x, round(sin(i * 0.1) * 2 + 1, 6) AS y FROM range(101) r(i)")
 def plot_curve(spark: SparkSession, d: str) -> DataFrame:
     return tables.curve(spark, "sin(x) * 2 + 1", 0, 10, 101).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
@@ -424,3 +424,9 @@ def agg_map_reduce(spark: SparkSession, d: str) -> DataFrame:
 def agg_grouped_view(spark: SparkSession, d: str) -> DataFrame:
     made = windows.grouped_view(table(spark, d, "nation"), "n_regionkey", F.col("n_nationkey"), ("n_nationkey",), "m")
     return made.select("n_nationkey", F.col("n_regionkey").alias("g"), F.try_element_at("m", F.lit(2)).cast("bigint").alias("two"))
+
+
+@query("tbl_rules", "SELECT event_id, round(value * 2, 6) AS twice, round(value * 2 + 1, 6) AS more, value * 2 + 1 > 100 AS big FROM events")
+def tbl_rules(spark: SparkSession, d: str) -> DataFrame:
+    made = tables.apply_rules(_events(spark, d), {"big": "more > 100", "more": "twice + 1", "twice": "value * 2"})
+    return made.select("event_id", F.round("twice", 6).alias("twice"), F.round("more", 6).alias("more"), "big")

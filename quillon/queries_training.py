@@ -36,7 +36,7 @@ def train_moments_weighted(spark: SparkSession, d: str) -> DataFrame:
     return trainers.moments(_lines(spark, d), "l_quantity", ("l_returnflag",), "l_tax").select("l_returnflag", F.round("mean", 6).alias("mean"))
 
 
-@query("train_count_table", "SELECT l_returnflag, l_linestatus, count(*) * 1.0 AS count FROM lineitem GROUP BY ALL")
+@query("train_count_table", "SELECT l_returnflag, l_linestatus, CAST(count(*) AS DOUBLE) AS count FROM lineitem GROUP BY ALL")
 def train_count_table(spark: SparkSession, d: str) -> DataFrame:
     return trainers.count_table(_lines(spark, d), ("l_returnflag", "l_linestatus"))
 
@@ -68,7 +68,7 @@ _START = ((10.0, 0.02), (25.0, 0.05), (40.0, 0.08))
 _D = ["pow(l_quantity - {}, 2) + pow(l_discount - {}, 2)".format(*c) for c in _START]
 
 
-@query("train_kmeans_round", f"SELECT CASE WHEN {_D[0]} <= least({_D[1]}, {_D[2]}) THEN 0 WHEN {_D[1]} <= {_D[2]} THEN 1 ELSE 2 END AS cluster, count(*) * 1.0 AS n, round(avg(l_quantity), 6) AS a, round(avg(l_discount), 6) AS b FROM lineitem GROUP BY 1")
+@query("train_kmeans_round", f"SELECT CASE WHEN {_D[0]} <= least({_D[1]}, {_D[2]}) THEN 0 WHEN {_D[1]} <= {_D[2]} THEN 1 ELSE 2 END AS cluster, CAST(count(*) AS DOUBLE) AS n, round(avg(l_quantity), 6) AS a, round(avg(l_discount), 6) AS b FROM lineitem GROUP BY 1")
 def train_kmeans_round(spark: SparkSession, d: str) -> DataFrame:
     found = trainers.k_means(_lines(spark, d), ("l_quantity", "l_discount"), _START, 1)
     return spark.createDataFrame([(k, n, round(c[0], 6), round(c[1], 6)) for k, (c, n) in enumerate(zip(found.centers, found.counts, strict=True))], "cluster int, n double, a double, b double")

@@ -121,11 +121,15 @@ def nearest(centers: Sequence[Sequence[float]], fields: Sequence[str]) -> tuple[
     return best["k"], best["d"]
 
 
-def k_means(df: DataFrame, fields: Sequence[str], start: Sequence[Sequence[float]], most_iterations: int = 20, close_enough: float = 1e-6, weight: str | None = None, zero_empty: bool = False) -> Clusters:
+def k_means(df: DataFrame, fields: Sequence[str], start: Sequence[Sequence[float]], most_iterations: int = 20, close_enough: float = 1e-6, weight: str | None = None, zero_empty: bool = False, quick: float | None = None) -> Clusters:
     """Lloyd's algorithm: each round is one narrow assignment and one small aggregate.
 
     Rows with a null field are skipped. An empty cluster keeps its centre, or moves to 0 with ``zero_empty``.
+    ``quick``, a share of the rows, first finds centres on a sample, from which the rounds over all rows start.
     """
+    if quick:
+        drawn = df.where(F.pmod(F.xxhash64(*fields), F.lit(1_000_000)) < int(quick * 1_000_000))
+        start = k_means(drawn, fields, start, most_iterations, close_enough, weight).centers
     rows = df.where(reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in fields]))
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     now = Clusters([list(map(float, c)) for c in start])

@@ -145,6 +145,13 @@ def test_regression_tree(spark):
     assert all(r.score == r.y for r in models.score(df, doc, ("x", "y")).collect())
 
 
+def test_rules_in_a_circle(spark):
+    df = rows(spark, [(1,)], "a int")
+    assert tables.apply_rules(df, {"c": "b + a", "b": "a * 2"}).first().c == 3
+    with pytest.raises(formula.FormulaError):
+        tables.apply_rules(df, {"b": "c", "c": "b"})
+
+
 def test_k_means_keeps_empty_clusters(spark):
     df = rows(spark, [(0.0, 0.0), (0.2, 0.0), (9.0, 9.0), (None, 1.0)], "a double, b double")
     found = trainers.k_means(df, ("a", "b"), [(0, 0), (10, 10), (500, 500)], 5)
