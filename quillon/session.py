@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a temporary folder is chosen and set.
+    a temporary folder is chosen and set, and removed at the end.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -27,9 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
-    made = "file://" + os.path.join(tempfile.gettempdir(), "quillon-shared")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    made = tempfile.mkdtemp(prefix="quillon-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{made}")
+    return f"file://{made}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

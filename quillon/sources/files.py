@@ -110,7 +110,7 @@ def write_nab(df: DataFrame, path: str, fields: Sequence[tuple[str, str]]) -> No
     """One packed file a partition, written by the tasks themselves into a folder all share."""
     kind = np.dtype([(n, f) for n, f in fields])
     header = f"RecArray names={','.join(n for n, _ in fields)} formats={','.join(f for _, f in fields)}\n".encode()
-    target = path.removeprefix("file://")
+    target = re.sub(r"^file:/*", "/", path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
