@@ -110,7 +110,9 @@ w AS (SELECT automaker, day, day_no, total, sum(total) OVER s7 AS total_7, sum(n
 
 def _rolled(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "wtraining_converted")
-    return rolling.trailing(rolling.daily_totals(rows, folded(F.col("automaker")), F.col("sale_date"), F.col("cnt"), F.col("row_id"), F.col("recorded_at")))
+    daily = rolling.daily_totals(rows, folded(F.col("automaker")), F.col("sale_date"), F.col("cnt"), F.col("row_id"), F.col("recorded_at"))
+    # Calendar and totals both need the days; the rows are read once for them.
+    return rolling.trailing(materialise(daily, "daily"))
 
 
 @query("p4_found", _ROLLED + "SELECT automaker, strftime(day, '%Y-%m-%d') AS sale_day, CASE WHEN total_7 = 0 THEN 'quiet' ELSE 'surge' END AS day_kind FROM w WHERE day_no >= 30 AND ((total_7 = 0 AND total_30 <> 0) OR total_7 * 30 > 2 * 7 * total_30)")
