@@ -59,7 +59,7 @@ def spread(df: DataFrame) -> DataFrame:
     """The same rows over enough partitions for all cores.
 
     A scan of few, unsplittable files would leave cores idle in front of a costly narrow stage; only then
-    are the rows shuffled once. Inputs of many files pass as they are.
+    are the rows shuffled once: when fewer than half of the cores would work. Others pass as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() < cores else df
