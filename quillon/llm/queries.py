@@ -23,6 +23,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
+_GRAMS = r"list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))"
+_WORDS = r"""regexp_extract_all(lower(regexp_replace(replace({t}, '\\', ' '), '\\[A-Za-z]+', ' ', 'g')), '[\p{{L}}\p{{M}}\p{{N}}]+')"""
+SQL["p6_found"] = (
+    f"WITH d AS (SELECT doc_id, {_WORDS.format(t='text')} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(t='passage')} AS w FROM eval_items), "
+    f"g AS (SELECT doc_id, unnest({_GRAMS}) AS s FROM d WHERE len(w) >= 13), h AS (SELECT item_id, unnest({_GRAMS}) AS s FROM i WHERE len(w) >= 13) SELECT DISTINCT doc_id, item_id FROM g JOIN h USING (s)"
+)
+
+
 @query
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=2)
