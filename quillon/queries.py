@@ -96,6 +96,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return spikes.faulty_readings(table(spark, d, "test_data")).select("reading_id", "fault")
 
 
+_HARD = """
+WITH o AS (SELECT reading_id, arg_min(struct_pack(sensor, volume, lanes, period_s, read_at), arrived_at) AS r FROM test_data GROUP BY 1),
+s AS (SELECT reading_id, lower(trim(r.sensor, ' ' || chr(9) || chr(10) || chr(13))) AS sensor, r.volume AS v, r.lanes * r.period_s AS most, r.read_at AS t FROM o WHERE r.volume IS NOT NULL AND r.read_at IS NOT NULL),
+b AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY sensor ORDER BY t, reading_id) THEN 0 ELSE 1 END AS n FROM s),
+g AS (SELECT *, sum(n) OVER (PARTITION BY sensor ORDER BY t, reading_id ROWS UNBOUNDED PRECEDING) AS run FROM b),
+c AS (SELECT *, count(*) OVER (PARTITION BY sensor, run) AS k FROM g)
+SELECT reading_id, CASE WHEN v < 0 OR v > most THEN 'impossible' ELSE 'stuck' END AS fault FROM c WHERE v < 0 OR v > most OR k >= 8
+"""
+
+
+@query("p3_hard_faults", _HARD)
+def p3_hard_faults(spark: SparkSession, d: str) -> DataFrame:
+    """The faults that SQL can tell as well: all but spikes."""
+    return p3_found(spark, d).where("fault <> 'spike'")
+
+
 # --- 4 rolling totals -----------------------------------------------------------------------------------
 
 _ROLLED = """
