@@ -58,8 +58,13 @@ def folded(col: Column) -> Column:
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over enough partitions for all cores.
 
-    A scan of few, unsplittable files would leave cores idle in front of a costly narrow stage; only then
-    are the rows shuffled once: when fewer than half of the cores would work. Others pass as they are.
+    A scan of few files may be few row groups, whatever the number of its splits, and would leave cores
+    idle in front of a costly narrow stage; only then are the rows shuffled once: when fewer than half of
+    the cores would work. Others pass as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    pieces = df.rdd.getNumPartitions()
+    if pieces <= 16 * cores:
+        files = len(df.inputFiles())
+        pieces = min(pieces, files) if files else pieces
+    return df.repartition(2 * cores) if 2 * pieces < cores else df
