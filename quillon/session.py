@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a context, where they would not find it by themselves.
+
+    On one machine they find it if its folder is on PYTHONPATH or is the working directory; on a cluster it
+    is always sent.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    app = spark.sparkContext.applicationId
+    found = os.path.realpath(os.getcwd()) == os.path.realpath(root) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if app in _SHIPPED or (found and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)):
+        return
+    folder = tempfile.mkdtemp(prefix="quillon-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/quillon", "zip", root, "quillon"))
+    _SHIPPED.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
