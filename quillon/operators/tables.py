@@ -204,11 +204,19 @@ def heat_map(df: DataFrame, x: str, y: str, bins: tuple[int, int], box: tuple[fl
     return rows.groupBy(place(x, x0, x1, bins[0]).alias("x_bin"), place(y, y0, y1, bins[1]).alias("y_bin")).agg(value.alias("value"))
 
 
-def box_and_whisker(df: DataFrame, x: str, y: str, low: float, high: float, slices: int, levels: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
-    """(slice, levels): exact percentiles of y in slices of x."""
-    width = (high - low) / slices
-    rows = df.where((F.col(x) >= low) & (F.col(x) < high))
-    return rows.groupBy(F.floor((F.col(x) - low) / width).cast("int").alias("slice")).agg(F.percentile(y, [float(v) for v in levels]).alias("levels"))
+def box_and_whisker(df: DataFrame, x: str, y: str, low: float | None = None, high: float | None = None, slices: int = 8, levels: Sequence[float] = (0, 0.25, 0.5, 0.75, 1)) -> DataFrame:
+    """(slice, levels): exact percentiles of y in slices of x. A limit left out is the least or largest x, which then lies in the outermost slice."""
+    rows, top = df.where(F.col(x).isNotNull()), None
+    if low is None or high is None:
+        r = rows.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
+        top = r["b"] if high is None else None
+        low, high = (r["a"] if low is None else low), (r["b"] if high is None else high)
+        if low is None or high is None:
+            low, high, rows = 0.0, 1.0, rows.where(F.lit(False))
+    width = ((high - low) / slices) or 1.0
+    rows = rows.where((F.col(x) >= low) & (F.col(x) < high if top is None else F.col(x) <= high))
+    place = F.floor((F.col(x) - low) / width)
+    return rows.groupBy((place if top is None else F.least(place, F.lit(slices - 1))).cast("int").alias("slice")).agg(F.percentile(y, [float(v) for v in levels]).alias("levels"))
 
 
 def curve(spark, text: str, low: float, high: float, samples: int) -> DataFrame:
