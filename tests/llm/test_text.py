@@ -167,3 +167,21 @@ def test_held_out_accuracy():
         total += 1
         hits += any(k == "name" and text[a:b] == name for _, a, b, k in pii.spans([text]))
     assert hits / total > 0.7
+
+
+def covered(text, *items):
+    """Whether a window holds each item whole, whatever the tagger makes of it."""
+    _, places = pii_windows.windows([text])
+    return all(any(a <= text.index(x) and text.index(x) + len(x) <= b for _, a, b in places) for x in items)
+
+
+def test_names_behind_sentence_openers():
+    openers = "The In At For If Here No Let Both Why Unlike Following We It This Nach Selon Für Para Die On Department University".split()
+    for opener in openers:
+        for name in ("Anna Kowalska", "Greta Fenwick"):
+            assert covered(f"the lattice is slow and follows the graph. {opener} {name} the signal was read again and again", name)
+    for text in ("For Kowalska, Anna it was", "In Ludwig van Kowalska we saw", "Both Anna\n% Kowalska and", "If Anna J. Kowalska is", "Para Jos\\'e \\'Alvarez es"):
+        assert covered(f"the lattice is slow. {text} again", text.split(" ", 1)[1].rsplit(" ", 1)[0])
+    hits = [any(k == "name" and "Anna Kowalska" in t[a:b] for _, a, b, k in pii.spans([t])) for t in (f"It was slow. {o} Anna Kowalska, the signal was read again." for o in ("In", "At", "For", "If", "Unlike", "Following", "On", "Department"))]
+    assert np.mean(hits) > 0.7
+    assert pii.spans(["It was slow. The Voraya--Ramier relation holds."]) == []
