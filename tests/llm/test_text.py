@@ -188,7 +188,7 @@ def test_names_behind_sentence_openers():
 
 
 def test_short_accented_and_foreign_names_reach_the_tagger():
-    names = ["Wei Li", "Yuki Ito", "J. Lee", "J.~Wu", "Li, Wei", "Jos\\'e Garc\\'ia", "\\'Elise \\'Alvarez", "Pavel \\v{S}imek", "Piotr\\,Kowalska", "Anna\;Fenwick", "A.\\ Xu", "Anna\r\n%Li", "Łukasz Šimek", "Šárka Žižková", "Ludwig van Kowalska", "Kowalska J."]
+    names = ["Wei Li", "Yuki Ito", "J. Lee", "J.~Wu", "Li, Wei", "Jos\\'e Garc\\'ia", "\\'Elise \\'Alvarez", "Pavel \\v{S}imek", "Piotr\\,Kowalska", "Anna\\;Fenwick", "A.\\ Xu", "Anna\r\n%Li", "Łukasz Šimek", "Šárka Žižková", "Ludwig van Kowalska", "Kowalska J."]
     hits = 0
     for name in names:
         text = f"the lattice is slow and follows the graph. We thank {name} for help with the signal"
@@ -197,3 +197,15 @@ def test_short_accented_and_foreign_names_reach_the_tagger():
         hits += any(k == "name" and a < at + len(name) and b > at for _, a, b, k in pii.spans([text]))
     assert hits / len(names) > 0.7
     assert pii._sound("name", "Łukasz Šimek") and not pii._sound("name", "Łukasz")
+
+
+def test_long_groups_of_mailboxes():
+    people = "anna.kolinsk bruno.lindescu carmen.zelwick david.tarnholt elif.ramsand greta.fenwick hugo.vormoor ines.corberg jean.halholt karim.melstone lars.nerdahl maeve.oswick".split()
+    for opening, closing in (("{", "}"), ("\\{", "\\}")):
+        for between in (", ", ",\n"):
+            for n in (2, 6, 12):
+                item = opening + between.join(people[:n]) + closing + "@maths.x.test"
+                text = f"The lattice is slow and follows the graph. Contact {item} for the data."
+                assert [text[a:b] for *_, a, b, _ in pii.spans([text])] == [item]
+                assert pii.mask_texts([text]) == ["The lattice is slow and follows the graph. Contact [EMAIL]" + "\n" * item.count("\n") + " for the data."]
+    assert pii_windows.group("\\texttt{anna}@x.test", 13) == 13 and pii_windows.group("}@", 1) == 1 and pii_windows.group("a@", 1) == 1
