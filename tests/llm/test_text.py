@@ -209,3 +209,11 @@ def test_long_groups_of_mailboxes():
                 assert [text[a:b] for *_, a, b, _ in pii.spans([text])] == [item]
                 assert pii.mask_texts([text]) == ["The lattice is slow and follows the graph. Contact [EMAIL]" + "\n" * item.count("\n") + " for the data."]
     assert pii_windows.group("\\texttt{anna}@x.test", 13) == 13 and pii_windows.group("}@", 1) == 1 and pii_windows.group("a@", 1) == 1
+
+
+def test_bibliographies_hold_all_kinds_but_names():
+    entry = "\\begin{thebibliography}{1}\n\\bibitem{x} S.~Sandinsk and Leila Fenwick, \\emph{On it}, J. \\textbf{3}, 1674--1978 (1982). %s\n"
+    for item, kind in (("Phone +49 (0)30 23125 018", "phone"), ("The consent form lists SSN 922 77 8896", "id_number"), ("Write to anna_bern [at] cs dot valby dot example today.", "email"), ("P.O. Box 12, 25185 Ravenswick", "address")):
+        for end in ("\\end{thebibliography}", "The text goes on."):
+            text = entry.replace("%s", item + " for the data.") + end
+            assert [k for *_, k in pii.spans([text])] == [kind], (item, end)
