@@ -246,7 +246,7 @@ def _label(counts: Sequence[tuple[str, int]]) -> str:
     return max(sorted(counts), key=lambda c: c[1])[0]
 
 
-def grow_tree(df: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), depth: int = 5, least_rows: int = 2, least_gain: float = 0.0, bins: int | None = 64, impurity: str = "entropy", regression: bool = False) -> Node:
+def grow_tree(df: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), depth: int = 5, least_rows: int = 2, least_gain: float = 0.0, bins: int | None = None, impurity: str = "entropy", regression: bool = False) -> Node:
     """A classification or regression tree grown level by level: each level is one aggregate over all rows and all open nodes.
 
     The best split of each node, a row a node, and its class counts reach the driver. Ties go to the first

@@ -163,3 +163,11 @@ def test_least_squares(spark):
     df = rows(spark, [(float(i), float(i * i), 3.0 + 2 * i - 0.5 * i * i) for i in range(20)] + [(None, 1.0, 1.0)], "a double, b double, y double")
     fit = trainers.least_squares(df, "y", ("a", "b"))[0]
     assert math.isclose(fit["intercept"], 3, abs_tol=1e-8) and math.isclose(fit["a"], 2, abs_tol=1e-8) and math.isclose(fit["b"], -0.5, abs_tol=1e-8) and fit["rows"] == 20
+
+
+def test_tree_finds_cuts_between_quantiles(spark):
+    for regression in (False, True):
+        low, high = (1.0, 9.0) if regression else ("lo", "hi")
+        df = rows(spark, [(float(i), high if i >= 1995 else low) for i in range(2000)], f"x double, y {'double' if regression else 'string'}")
+        doc = trainers.grow_tree(df, "y", ("x",), depth=1, regression=regression)
+        assert {n.get("value") for n in doc.walk() if n.tag == "SimplePredicate"} == {"1994.5"}
