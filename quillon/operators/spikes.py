@@ -4,8 +4,8 @@ Each source's readings are numbered in time order by a two-step prefix sum (rows
 offsets), cut into blocks of equal length with a halo on both sides, and filtered block by block, so a
 source with a third of all rows spreads over many tasks. A local-level Kalman filter runs over each block:
 the observation variance grows with the level by the source's own coefficient, readings whose standardised
-innovation passes the gate are flagged and their update withheld, and vanishing innovation variance over a
-full run of readings marks a stuck source.
+innovation passes the gate are flagged and their update withheld. Stuck runs are found by run length, not by
+the variance of innovations: equal readings are exactly equal, and they are taken out before the filter runs.
 """
 
 from __future__ import annotations
@@ -130,7 +130,8 @@ def judge(frame: pd.DataFrame, run: int = 8, times: float = 10.0, longest: int =
     impossible = (v < 0) | (v > np.where(np.isnan(most), np.inf, most))
     stuck = (equal_run(v) >= run) & ~impossible
     c = frame["coef"].iloc[0]
-    coef = max(floor, float(c)) if c is not None and c == c else 1.0
+    # The floor stands in only for a source that hardly ever moves off its local median.
+    coef = (float(c) if c > 0 else floor) if c is not None and c == c else 1.0
     sound = np.flatnonzero(~impossible & ~stuck)
     x = v[sound].astype(float)
     flags, score = kalman_flags(x, coef, gate, longest=longest)

@@ -52,3 +52,10 @@ def test_empty_null_and_missing_limits(spark):
 def test_runs():
     assert K.equal_run(np.array([1, 1, 2, 2, 2, 1])).tolist() == [2, 2, 3, 3, 3, 1]
     assert K.equal_run(np.array([], int)).tolist() == []
+
+
+def test_quiet_sources_keep_their_own_scatter(spark):
+    v = [400 + round(x) for x in np.random.default_rng(4).normal(0, 4, 400)]
+    v[200] += 48
+    got = {r.reading_id: r.fault for r in K.faulty_readings(frame(spark, v)).collect()}
+    assert got == {200: "spike"}
