@@ -1,60 +1,82 @@
 """python -m quillon.llm.pii_train DOCUMENTS.parquet [STEPS]: trains the tagger and writes its weights beside this file.
 
-The sample is bounded: SAMPLE texts, each once as it is and once with invented names and towns. Weights are
-stored as half floats (about 60 kB).
+The sample is bounded: SAMPLE texts, each once as it is and once with other names and towns, and MADE passages
+of made-up sentences. Weights are stored as half floats (about 60 kB).
 """
 
 from __future__ import annotations
 
+import os
 import random
 import sys
 from pathlib import Path
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import numpy as np
 import pyarrow.parquet as pq
 
-from quillon.llm import pii_spans, pii_windows, tagger
+from quillon.llm import pii_made, pii_spans, pii_windows, tagger
 
-SAMPLE, HIDDEN, STEPS = 6000, 24, 5000
+SAMPLE, MADE, HIDDEN, STEPS = 6000, 55_000, 40, 3600
 WEIGHTS = Path(__file__).with_name("pii_tagger.npz")
 
 
-def labelled_windows(texts: list[str], seed: int = 9, vary: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(N, LENGTH) symbols and tags of the texts' windows."""
+Labelled = tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]
+
+
+def tagged_windows(labelled: list[Labelled], at_once: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """(N, LENGTH) symbols and tags of the windows of labelled texts; windows over unsure places are left out."""
+    all_symbols, all_tags = [], []
+    for start in range(0, len(labelled), at_once):
+        part = labelled[start : start + at_once]
+        by_char = [np.zeros(len(text), np.int8) for text, _, _ in part]
+        for row, (_, spans, _) in zip(by_char, part, strict=True):
+            for a, b, k in spans:
+                row[a:b] = tagger.KINDS.index(k) + 1
+        symbols, places = pii_windows.windows([text for text, _, _ in part])
+        tags = np.zeros(symbols.shape, np.int8)
+        for i, (k, a, b) in enumerate(places):
+            tags[i, : b - a] = by_char[k][a:b]
+        sure = [i for i, (k, a, b) in enumerate(places) if not any(x < b and y > a for x, y in part[k][2])]
+        all_symbols.append(symbols[sure])
+        all_tags.append(tags[sure])
+    return np.concatenate(all_symbols), np.concatenate(all_tags)
+
+
+def of_texts(texts: list[str], seed: int = 9) -> list[Labelled]:
+    """The sampled texts, as they are and varied."""
     rng = random.Random(seed)
-    symbols, tags = [], []
+    common = pii_spans.common_words(texts)
+    done = []
     for text in texts:
-        spans = pii_spans.label(text)
-        for body, marks in [(text, spans), pii_spans.varied(text, spans, rng)] if vary else [(text, spans)]:
-            if body is not text and not any(k in ("name", "address") for *_, k in marks):
-                continue
-            by_char = np.zeros(len(body), np.int8)
-            for a, b, k in marks:
-                by_char[a:b] = tagger.KINDS.index(k) + 1
-            w, places = pii_windows.windows([body])
-            t = np.zeros(w.shape, np.int8)
-            for i, (_, a, b) in enumerate(places):
-                t[i, : b - a] = by_char[a:b]
-            symbols.append(w)
-            tags.append(t)
-    return np.concatenate(symbols), np.concatenate(tags)
+        spans, unsure = pii_spans.label(text, common)
+        done.append((text, spans, unsure))
+        if spans:
+            done.append(pii_spans.varied(text, spans, unsure, rng))
+    return done
+
+
+def made_up(passages: int, seed: int = 11) -> list[Labelled]:
+    rng = random.Random(seed)
+    return [(*pii_made.passage(rng), []) for _ in range(passages)]
 
 
 def main() -> None:
     table = pq.read_table(sys.argv[1], columns=["doc_id", "text"]).sort_by("doc_id")
     texts = [t for t in table.column("text").to_pylist() if t]
     texts = random.Random(1).sample(texts, min(SAMPLE, len(texts)))
-    symbols, tags = labelled_windows(texts)
-    print("windows", symbols.shape, "with cases", int((tags > 0).any(axis=1).sum()), flush=True)
     steps = int(sys.argv[2]) if len(sys.argv) > 2 else STEPS
+    parts = [tagged_windows(of_texts(texts)), tagged_windows(made_up(MADE))]
+    print("windows of texts", parts[0][0].shape, "made", parts[1][0].shape, flush=True)
+    symbols, tags = (np.concatenate([part[k] for part in parts]) for k in (0, 1))
 
-    def say(step: int, loss: float) -> None:
+    def say(step: int, loss: float, p: dict[str, np.ndarray]) -> None:
         print(step, round(loss, 4), flush=True)
         if step % 500 == 0:
             np.savez(WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
 
-    p = tagger.start(HIDDEN)
-    tagger.train(p, symbols, tags, steps, say=say)
+    p = tagger.train(tagger.start(HIDDEN), symbols, tags, steps, batch=96, rate=0.008, say=say, workers=min(8, os.cpu_count() or 1))
     np.savez(WEIGHTS, **{k: v.astype(np.float16) for k, v in p.items()})
 
 
