@@ -1,12 +1,14 @@
 """Evaluation passages leaking into training text.
 
 Item-sized windows of words go through a CGK random walk, which maps a small edit distance to a small
-Hamming distance; repeated samples of the walk's positions are the LSH keys. Windows that share a key with
-a window of a passage are verified by their exact word edit distance.
-
-Two fixed-size bitmaps cut the work without losing a pair: one of the passages' words (a window within e
-edits of a passage window has at most e foreign words) and one of the passages' LSH keys. Bitmaps may let
-too much through, never too little, and do not grow with either side.
+Hamming distance; repeated samples of the walk's positions are the LSH keys. Passages are cut into windows
+of ``window`` words; texts into windows of that length and of up to ``edits`` words less or more, so that
+inserted and deleted words are met like replaced ones. Windows that share a key with a window of a passage
+are verified by their exact word edit distance.
+
+Two bitmaps cut the work without losing a pair: one of the passages' words (a window within e edits of a
+passage window has at most e foreign words) and one of the passages' LSH keys. Their size follows from the
+counted index, up to 16 MB each. They may let too much through, never too little.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from pyspark.sql import functions as F
 from quillon.llm.words import Words, chunks, mix
 from quillon.session import materialise, spread
 
-WORD_BITS, KEY_BITS = 20, 22
+#: Bits of the bitmaps' addresses at least and at most.
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 class WalkHash:
     """CGK walk of ``window`` symbols to 3 × ``window`` ones, then ``repeats`` keys of ``samples`` positions each.
 
     ``repeats`` follows from the target recall at ``edits`` edits: an edit leaves the two walks apart for
-    about ``drift`` positions, so a key survives with probability (1 - edits × drift / length) ** samples.
+    about ``drift`` positions (measured; insertions drift farthest), so a key survives with probability (1 - edits × drift / length) ** samples.
+    At 0 edits equal windows share every key, and one repetition reaches any recall.
     """
 
-    def __init__(self, window: int, edits: int, recall: float = 0.95, samples: int = 6, drift: float = 4.0, seed: int = 7) -> None:
+    def __init__(self, window: int, edits: int, recall: float = 0.95, samples: int = 6, drift: float = 5.5, seed: int = 7) -> None:
         self.window, self.length, self.samples = window, 3 * window, samples
         alive = max(0.05, 1 - edits * drift / self.length) ** samples
         self.repeats = 1 if edits == 0 else max(1, math.ceil(math.log(1 - recall) / math.log(1 - alive)))
@@ -41,8 +45,8 @@ class WalkHash:
         self.places = [np.sort(rng.choice(self.length, samples, replace=False)) for _ in range(self.repeats)]
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
-        """(n, window) word hashes to (n, repeats) keys."""
-        n = len(windows)
+        """(n, words) word hashes to (n, repeats) keys; all windows of a call have the same number of words."""
+        n, words = windows.shape
         padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
         out, rows = np.zeros((n, self.repeats), np.uint64), np.arange(n)
         for r in range(self.repeats):
@@ -53,11 +57,27 @@ class WalkHash:
                 if j in wanted:
                     key = mix(key ^ symbol) * np.uint64(0x9E3779B97F4A7C15)
                 step = mix(symbol ^ self.seeds[r, j]) & np.uint64(1)
-                at = np.minimum(at + step.astype(np.int64), self.window)
+                at = np.minimum(at + step.astype(np.int64), words)
             out[:, r] = mix(key)
         return out
 
 
+class Bitmap:
+    """A set of 64-bit hashes by their leading bits, packed."""
+
+    def __init__(self, bits: int, data: np.ndarray | None = None) -> None:
+        self.shift = np.uint64(64 - bits)
+        self.data = np.zeros(1 << (bits - 3), np.uint8) if data is None else data
+
+    def add(self, hashes: np.ndarray) -> None:
+        at = hashes >> self.shift
+        np.bitwise_or.at(self.data, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> self.shift
+        return (self.data[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
 def word_edits(a: list[str], b: list[str], most: int) -> int:
     """Edit distance of two word lists, or most + 1 if it is larger."""
     if a == b:
@@ -79,12 +99,13 @@ def _codes(windows: np.ndarray) -> list[str]:
     return [row.tobytes().decode("utf-32-le") for row in letters]
 
 
-def _windows(words: Words, window: int, good: np.ndarray) -> np.ndarray:
-    """Starts of the windows inside one text for which ``good`` holds."""
+def _windows(words: Words, window: int, good: np.ndarray | None = None) -> np.ndarray:
+    """Starts of the windows inside one text; of those for which ``good`` holds, if it is given."""
     n = len(words.hash) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    return np.flatnonzero(good[:n] & (words.text[:n] == words.text[window - 1 :]))
+    one = words.text[:n] == words.text[window - 1 :]
+    return np.flatnonzero(one if good is None else good[:n] & one)
 
 
 def _item_index(items: DataFrame, walk: WalkHash, item_col: str, passage_col: str) -> DataFrame:
@@ -92,7 +113,7 @@ def _item_index(items: DataFrame, walk: WalkHash, item_col: str, passage_col: st
         for frame in frames:
             for at, texts in chunks(frame["t"].tolist()):
                 words = Words(texts)
-                start = _windows(words, walk.window, np.ones(len(words.hash), bool))
+                start = _windows(words, walk.window)
                 if not len(start):
                     continue
                 hashes = words.hash[start[:, None] + np.arange(walk.window)]
@@ -106,36 +127,41 @@ def _item_index(items: DataFrame, walk: WalkHash, item_col: str, passage_col: st
     return chosen.mapInPandas(run, "item_id long, lsh_key long, item_words string, item_code string").distinct()
 
 
-def _bitmaps(index: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of the index's words and keys; each partition sends two of a fixed size."""
+def _bitmaps(index: DataFrame, rows: int) -> tuple[Bitmap, Bitmap]:
+    """Bitmaps of the index's words and keys, about 16 bits a row; each task sends two of that size."""
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * rows + 1))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, keys = np.zeros(1 << WORD_BITS, bool), np.zeros(1 << KEY_BITS, bool)
+        words, keys = Bitmap(bits), Bitmap(bits)
         for frame in frames:
-            words[Words(frame["item_words"].drop_duplicates().tolist()).hash >> np.uint64(64 - WORD_BITS)] = True
-            keys[frame["lsh_key"].to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS)] = True
-        yield pd.DataFrame({"w": [np.packbits(words).tobytes()], "k": [np.packbits(keys).tobytes()]})
-
-    words, keys = np.zeros(1 << WORD_BITS, bool), np.zeros(1 << KEY_BITS, bool)
-    for row in index.select("item_words", "lsh_key").coalesce(8).mapInPandas(run, "w binary, k binary").toLocalIterator():
-        words |= np.unpackbits(np.frombuffer(row["w"], np.uint8)).astype(bool)
-        keys |= np.unpackbits(np.frombuffer(row["k"], np.uint8)).astype(bool)
+            words.add(Words(frame["item_words"].drop_duplicates().tolist()).hash)
+            keys.add(frame["lsh_key"].to_numpy().view(np.uint64))
+        yield pd.DataFrame({"w": [words.data.tobytes()], "k": [keys.data.tobytes()]})
+
+    words, keys = Bitmap(bits), Bitmap(bits)
+    tasks = min(64, max(8, rows // 1_000_000))
+    for row in index.select("item_words", "lsh_key").coalesce(tasks).mapInPandas(run, "w binary, k binary").toLocalIterator():
+        words.data |= np.frombuffer(row["w"], np.uint8)
+        keys.data |= np.frombuffer(row["k"], np.uint8)
     return words, keys
 
 
-def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, recall: float = 0.95, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", broadcast_rows: int = 2_000_000, salts: int = 16) -> DataFrame:
-    """(doc_id, item_id, edits, windows): documents with a window of a passage, within ``edits`` word edits.
+def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, recall: float = 0.95, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
+    """(doc_id, item_id, edits, windows): documents with a run of words within ``edits`` word edits of a passage window.
 
-    ``edits`` of a row is the least found, ``windows`` the number of distinct passage windows met. With
-    ``edits=0`` recall is exact, as equal windows share every key; above, it is the target recall. Passages
-    of fewer than ``window`` words cannot leak. Null ids or texts give nothing, a repeated doc_id counts
-    once, empty tables give no rows. The index is broadcast only if it has at most ``broadcast_rows``
-    rows; else both sides are shuffled and the documents' side is salted against hot passages.
+    ``edits`` of a row is the least found, ``windows`` the number of distinct passage windows met. Rows of
+    0 edits are complete whatever ``edits`` is, as equal windows share every key; the others are found at
+    the target recall. Passages of fewer than ``window`` words cannot leak. Null ids or texts give nothing,
+    a repeated doc_id counts once, empty tables give no rows. The index is broadcast only if its texts and
+    keys are measured to take at most ``broadcast_bytes``; else both sides are shuffled and the documents'
+    side is salted against hot passages.
     """
     walk = WalkHash(window, edits, recall)
     spark = docs.sparkSession
     index = materialise(_item_index(items, walk, item_col, passage_col), "leak-index")
-    words_map, keys_map = _bitmaps(index)
+    # Text in the JVM's rows, keys and headers.
+    size = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("item_words") + F.octet_length("item_code") + 64).alias("b")).first()
+    words_map, keys_map = _bitmaps(index, size["n"])
     maps = spark.sparkContext.broadcast((words_map, keys_map))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,23 +170,26 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, r
             ids = frame["d"].to_numpy()
             for at, texts in chunks(frame["t"].tolist()):
                 words = Words(texts)
-                inside = known[words.hash >> np.uint64(64 - WORD_BITS)]
-                counts = np.r_[0, np.cumsum(inside)]
-                start = _windows(words, window, counts[window:] - counts[:-window] >= window - edits) if len(inside) >= window else ()
-                if not len(start):
-                    continue
-                hashes = words.hash[start[:, None] + np.arange(window)]
-                keys = walk.keys(hashes)
-                hit = wanted[keys >> np.uint64(64 - KEY_BITS)]
-                n, r = np.nonzero(hit)
-                if len(n):
-                    some = np.unique(n)
-                    spelled = dict(zip(some.tolist(), zip((words.spell(start[k], window) for k in some), _codes(hashes[some]), strict=True), strict=True))
-                    yield pd.DataFrame({"doc_id": ids[at + words.text[start[n]]], "lsh_key": keys[n, r].view(np.int64), "doc_words": [spelled[k][0] for k in n.tolist()], "doc_code": [spelled[k][1] for k in n.tolist()]})
+                counts = np.r_[0, np.cumsum(known.has(words.hash))]
+                for length in range(max(1, window - edits), window + edits + 1):
+                    if len(words.hash) < length:
+                        continue
+                    # At most ``edits`` words of the longer side lack a partner.
+                    start = _windows(words, length, counts[length:] - counts[:-length] >= max(length, window) - edits)
+                    if not len(start):
+                        continue
+                    hashes = words.hash[start[:, None] + np.arange(length)]
+                    keys = walk.keys(hashes)
+                    hit = wanted.has(keys)
+                    some = np.flatnonzero(hit.any(axis=1))
+                    if len(some):
+                        met = [k[h].tolist() for k, h in zip(keys[some].view(np.int64), hit[some], strict=True)]
+                        yield pd.DataFrame({"doc_id": ids[at + words.text[start[some]]], "lsh_keys": met, "doc_words": [words.spell(start[k], length) for k in some], "doc_code": _codes(hashes[some])})
 
     chosen = docs.select(F.col(doc_col).cast("long").alias("d"), F.col(text_col).alias("t")).filter("d is not null and t is not null")
-    found = spread(chosen).mapInPandas(run, "doc_id long, lsh_key long, doc_words string, doc_code string")
-    if index.count() <= broadcast_rows:
+    found = spread(chosen).mapInPandas(run, "doc_id long, lsh_keys array<long>, doc_words string, doc_code string")
+    found = found.select("doc_id", F.explode("lsh_keys").alias("lsh_key"), "doc_words", "doc_code")
+    if (size["b"] or 0) <= broadcast_bytes:
         met = found.join(F.broadcast(index), "lsh_key")
     else:
         repeated = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -172,7 +201,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, r
 
         @F.pandas_udf("int")
         def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([word_edits(x.split(), y.split(), edits) for x, y in zip(a, b, strict=True)], dtype="int32")
+            return pd.Series([0 if x == y else word_edits(x.split(), y.split(), edits) for x, y in zip(a, b, strict=True)], dtype="int32")
 
         sure = met.distinct().withColumn("edits", distance("doc_words", "item_words")).filter(F.col("edits") <= edits)
     by_window = sure.groupBy("doc_id", "item_id", "item_words").agg(F.min("edits").alias("edits"))

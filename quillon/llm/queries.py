@@ -20,7 +20,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    near = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), edits=1)
+    return near.filter("edits = 0").select("doc_id", "item_id")
 
 
 _GRAMS = r"list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))"

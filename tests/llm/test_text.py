@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import leakage, mixing, pii, pii_spans, pii_windows, tagger
+from quillon.llm import leakage, mixing, pii, pii_made, pii_windows, tagger
 from quillon.llm.words import Words
+from tests.llm import heldout
 
 PASSAGE = "Nobody at the orchard saw the plumber who lifts the tin whistle on a windy day with 543 grams left near the wall"
 
@@ -37,7 +38,7 @@ def test_leaks_exactly_thirteen_words(spark):
         " ".join(words[:12]) + " slowly " + " ".join(words[12:]) if False else " ".join(words[:8]) + " slowly " + " ".join(words[8:16]), "filler " * 20000 + PASSAGE, PASSAGE + " " + PASSAGE,
     ]
     assert leaked(spark, texts) == [(0, 7, 0), (2, 7, 0), (3, 7, 0), (6, 7, 0), (8, 7, 0), (9, 7, 0)]
-    assert leaked(spark, texts, broadcast_rows=1) == leaked(spark, texts)
+    assert leaked(spark, texts, broadcast_bytes=1) == leaked(spark, texts)
 
 
 def test_leaks_of_empty_tables_and_repeats(spark):
@@ -60,6 +61,49 @@ def test_near_leak_recall(spark):
     assert sum((k, k) in got for k in range(60)) >= 54
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_near_leaks_with_replaced_inserted_and_deleted_words(spark, edits):
+    """Against brute force over all runs of words: 0.95 of the pairs, and never a wrong distance."""
+    rng = random.Random(edits)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(16))) for k in range(40)]
+    texts = []
+    for _, p in rows:
+        w = p.split()[:13]
+        for _ in range(edits):
+            at = rng.randint(1, len(w) - 2)
+            kind = rng.choice(["replace", "insert", "delete"])
+            w[at : at + (kind != "insert")] = [] if kind == "delete" else [rng.choice(vocabulary)]
+        texts.append("some words before " + " ".join(w) + " and some behind")
+    best = {}
+    for d, text in enumerate(texts):
+        words = text.split()
+        for i, p in rows:
+            q = p.split()
+            runs = [words[a : a + n] for n in range(13 - edits, 14 + edits) for a in range(len(words) - n + 1)]
+            least = min(leakage.word_edits(x, q[b : b + 13], edits) for x in runs for b in range(4))
+            if least <= edits:
+                best[d, i] = least
+    got = {(d, i): e for d, i, e in leaked(spark, texts, rows, edits=edits)}
+    assert len(best) >= 40 and set(got) <= set(best) and all(got[k] >= best[k] for k in got)
+    assert sum(got.get(k) == e for k, e in best.items()) >= 0.95 * len(best)
+
+
+def test_one_inserted_or_deleted_word(spark):
+    words = PASSAGE.split()
+    texts = [" ".join(words[:13]), " ".join([*words[:6], "slowly", *words[6:13]]), " ".join([*words[:6], *words[7:13]]), " ".join([*words[:6], "slowly", *words[7:13]])]
+    assert leaked(spark, texts, edits=1) == [(0, 7, 0), (1, 7, 1), (2, 7, 1), (3, 7, 1)]
+
+
+def test_bitmaps_grow_with_the_index():
+    small, large = leakage.Bitmap(16), leakage.Bitmap(22)
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2)
+    for bitmap in (small, large):
+        bitmap.add(hashes[:2000])
+        assert bitmap.has(hashes[:2000]).all()
+    assert large.has(hashes[2000:]).mean() < small.has(hashes[2000:]).mean() < 0.1
+
+
 def test_walk_maps_edits_to_few_differences():
     walk = leakage.WalkHash(13, 1)
     rng = np.random.default_rng(1)
@@ -157,18 +201,43 @@ def test_very_long_text_and_empty(spark):
     assert pii.find(docs(spark, []).select("doc_id", "text")).count() == 0
 
 
+def invented(rng):
+    word = "".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiouy") for _ in range(rng.randint(1, 2)))
+    return (word + rng.choice("n r s t l k m d ck nd rt va na ski ez son ra".split())).capitalize()
+
+
 def test_held_out_accuracy():
     """On invented surroundings the tagger never saw: names and mailboxes made up here."""
     rng = random.Random(77)
     hits = total = 0
     for _ in range(200):
-        name = f"{rng.choice(pii_spans.GIVEN)} {pii_spans.invented(rng)}"
+        name = f"{rng.choice(pii_made.GIVEN)} {invented(rng)}"
         text = f"We thank {name} for help with the signal. Unlike earlier work, our lattice follows the graph."
         total += 1
         hits += any(k == "name" and text[a:b] == name for _, a, b, k in pii.spans([text]))
     assert hits / total > 0.7
 
 
+def test_held_out_sentences():
+    """Sentences and items written by hand: exact ends of each kind, and the windows' own recall."""
+    cases = heldout.cases()
+    assert len(cases) >= 500
+    found = {}
+    for k, a, b, kind in pii.spans([c[0] for c in cases]):
+        found.setdefault(k, []).append((a, b, kind))
+    for kind in tagger.KINDS:
+        mine = [(k, a, b) for k, (_, a, b, x) in enumerate(cases) if x == kind]
+        hits = sum((a, b, kind) in found.get(k, []) for k, a, b in mine)
+        wrong = sum(x == kind and (a, b, x) != cases[k][1:] for k, spans in found.items() for a, b, x in spans)
+        assert hits / len(mine) >= 0.9 and hits / (hits + wrong) >= 0.9, (kind, hits, len(mine), wrong)
+    _, places = pii_windows.windows([c[0] for c in cases])
+    inside = [any(k == i and a <= s and e <= b for k, a, b in places) for i, (_, s, e, _) in enumerate(cases)]
+    # A window may end inside a long item; overlapping windows then cover it together.
+    by_char = [all(any(k == i and a <= c < b for k, a, b in places) for c in range(s, e)) for i, (_, s, e, _) in enumerate(cases)]
+    assert np.mean(by_char) >= 0.99 and np.mean(inside) >= 0.9
+    assert len(pii.spans(heldout.PLAIN)) <= 0.15 * len(heldout.PLAIN)
+
+
 def covered(text, *items):
     """Whether a window holds each item whole, whatever the tagger makes of it."""
     _, places = pii_windows.windows([text])
