@@ -69,9 +69,13 @@ _add("invert bitwise_not ~", F.bitwise_not)
 
 
 def _shift(a: Column, b: Column, left: bool) -> Column:
-    """Shifts by a column: powers of two, as the built-in functions take constants only."""
-    by = F.pow(F.lit(2.0), b.cast("double"))
-    return (a.cast("double") * by).cast("bigint") if left else F.floor(a.cast("double") / by).cast("bigint")
+    """Shifts of 64-bit whole numbers by a column; only the last six bits of ``b`` count."""
+    return F.call_function("shiftleft" if left else "shiftright", a.cast("bigint"), b.cast("int"))
+
+
+def _negative(x: Column) -> Column:
+    """Whether the sign is set, also that of a zero."""
+    return (x < 0) | ((x == 0) & (x.cast("double").cast("string") == "-0.0"))
 
 
 _add("left_shift <<", lambda a, b: _shift(a, b, True))
@@ -90,7 +94,7 @@ _add("maximum", _maximum)
 _add("minimum", _minimum)
 _add("isinf", lambda x: F.abs(x) == INF)
 _add("isfinite", lambda x: ~F.isnan(x) & (F.abs(x) != INF))
-_add("signbit", lambda x: x < 0)
+_add("signbit", _negative)
 _add("ldexp", lambda x, n: x * F.pow(F.lit(2.0), n.cast("double")))
 _add("floor", F.floor)
 _add("ceil", F.ceil)
@@ -102,7 +106,7 @@ _add("like", lambda x, p: F.regexp_like(x, F.concat(F.lit("^(?:"), p, F.lit(")")
 _add("logaddexp", lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
 _add("logaddexp2", lambda a, b: F.greatest(a, b) + F.log1p(F.pow(F.lit(2.0), -F.abs(a - b))) / F.lit(float(np.log(2))))
 _add("exp2", lambda x: F.pow(F.lit(2.0), x))
-_add("copysign", lambda a, b: F.abs(a) * F.when(b < 0, -1).otherwise(1))
+_add("copysign", lambda a, b: F.abs(a) * F.when(_negative(b), -1).otherwise(1))
 _add("nextafter", next_after)
 _add("trunc", lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)))
 _add("if", lambda c, t, e=None: F.when(c, t) if e is None else F.when(c, t).otherwise(e))

@@ -129,12 +129,12 @@ def parse_lines(ids: pa.Array, lines: pa.Array, feed: Feed, schema: pa.Schema) -
     return both.add_column(1, "feed", pa.array([feed.name] * len(both), pa.string())).select(schema.names)
 
 
-def split_lines(df: DataFrame, feeds: tuple[Feed, ...] = FEEDS, id_col: str = "line_id", feed_col: str = "feed", text_col: str = "line_text") -> DataFrame:
+def split_lines(df: DataFrame, feeds: tuple[Feed, ...] = FEEDS, id_col: str = "line_id", feed_col: str = "feed", text_col: str = "line_text", unknown: bool = False) -> DataFrame:
     """One row for each data line: ``reason`` is null and the typed columns filled, or it names the fault.
 
     ``reason`` is the first of ``quoting``, ``columns``, ``value`` that applies; ``bad_field`` the first
     failing cell of a ``value`` fault. Headers, empty lines, lines of spaces and null lines give no row;
-    lines of an unknown or null feed give none either. Null ids are kept as null. Other columns of the
+    lines of an unknown or null feed give none either, or with ``unknown`` come out with the reason ``feed``. Null ids are kept as null. Other columns of the
     input are ignored, whatever their names. An empty table gives an empty table.
     """
     text = out_schema(feeds)
@@ -144,12 +144,18 @@ def split_lines(df: DataFrame, feeds: tuple[Feed, ...] = FEEDS, id_col: str = "l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if unknown:
+                known = pc.fill_null(pc.is_in(batch.column(1), pa.array([f.name for f in feeds])), False)
+                other = batch.filter(pc.and_(pc.invert(known), pc.is_valid(batch.column(2))))
+                columns = {"line_id": other.column(0), "feed": pc.cast(other.column(1), pa.string()), "reason": pa.array(["feed"] * other.num_rows, pa.string())}
+                yield from pa.table({f.name: columns.get(f.name, pa.nulls(other.num_rows, f.type)) for f in schema}).to_batches()
             for feed in feeds:
                 mine = batch.filter(pc.equal(batch.column(1), feed.name))
                 if mine.num_rows:
                     yield from parse_lines(mine.column(0), pc.cast(mine.column(2), pa.string()), feed, schema).to_batches()
 
-    chosen = df.select(F.col(id_col).cast("long"), F.col(feed_col), F.col(text_col)).filter(F.col(feed_col).isin([f.name for f in feeds]))
+    rows = df.select(F.col(id_col).cast("long"), F.col(feed_col), F.col(text_col))
+    chosen = rows if unknown else rows.filter(F.col(feed_col).isin([f.name for f in feeds]))
     return spread(chosen).mapInArrow(run, text)
 
 

@@ -358,15 +358,8 @@ for _n, _sql in {"count": "count(*)", "sum": "sum(l_extendedprice)", "mean": "av
         return out.withColumn("value", F.round("value", 4))
 
 
-@query("plot_box", "SELECT CAST(floor(user_id / 25) AS INTEGER) AS slice, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3 FROM events WHERE user_id >= 0 AND user_id < 200 GROUP BY 1")
-def plot_box(spark: SparkSession, d: str) -> DataFrame:
-    out = tables.box_and_whisker(_events(spark, d), "user_id", "value", 0, 200, 8)
-    return out.select("slice", *[F.round(F.col("levels")[k], 6).alias(f"q{k}") for k in (1, 2, 3)])
-
-
 @query("plot_box_whole", "SELECT least(CAST(floor((user_id - lo) / ((hi - lo) / 8)) AS INTEGER), 7) AS slice, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3 FROM events, (SELECT min(user_id) AS lo, max(user_id) AS hi FROM events) WHERE user_id IS NOT NULL GROUP BY 1")
 def plot_box_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every user: plot_box has the users below 200 that its SQL asks for."""
     out = tables.box_and_whisker(_events(spark, d), "user_id", "value", slices=8)
     return out.select("slice", *[F.round(F.col("levels")[k], 6).alias(f"q{k}") for k in (1, 2, 3)])
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 from quillon.plans import ir, models
 from quillon.queries_models import _LINE_KEY
 from quillon.registry import query
-from quillon.session import shared_dir, table
+from quillon.session import scratch as _scratch
+from quillon.session import table
 from quillon.sources import files
 from quillon.streaming import online
 from quillon.train import trainers
@@ -18,9 +18,6 @@ from quillon.train import trainers
 _KEY = ", ".join(_LINE_KEY)
 
 
-def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem")
@@ -160,10 +157,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_pseudo_events", "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(value) AS n, round(sum(value), 3) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY ALL")
 def stream_pseudo_events(spark: SparkSession, d: str) -> DataFrame:
     made = online.pseudo_events(_stream(spark, d), "ts", "6 hours", "value", ("event_type",))
-    name = f"pseudo_{uuid.uuid4().hex}"
-    running = made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"), "low", "high")
+    return online.completed(made, _scratch(spark, "pseudo")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"), "low", "high")
 
 
 @query("stream_counted_events", "WITH n AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS batch_no FROM events) SELECT user_id, batch_no, count(*) AS n, round(sum(value), 4) AS total FROM n GROUP BY ALL")
@@ -254,9 +248,20 @@ for _kind in ("xml", "json"):
         return files.read_scores(spark, path, "event_id bigint, event_type string", _kind)
 
 
-@query("src_malformed_rows", "SELECT CAST(i AS BIGINT) AS a, CAST(i AS DOUBLE) / 2 AS b FROM range(50) r(i) WHERE i % 10 <> 3")
+@query("src_malformed_rows", "SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) AS size, p_retailprice AS price FROM part WHERE p_partkey % 10 <> 3 AND p_partkey % 7 <> 2")
 def src_malformed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as a file in which many rows have a cell of a wrong type or a cell too few; these are dropped."""
     path = _scratch(spark, "bad") + ".csv"
-    lines = ["a [integer],b [double]", *[f"{i},{i / 2}" if i % 10 != 3 else f"{i},oops" for i in range(50)]]
-    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    size = F.when(F.col("p_partkey") % 10 == 3, F.lit("oops")).otherwise(F.col("p_size").cast("string"))
+    cells = F.concat_ws(",", F.col("p_partkey").cast("string"), size, F.when(F.col("p_partkey") % 7 != 2, F.col("p_retailprice").cast("string")))
+    _parts(spark, d).select(cells.alias("k [integer],size [integer],price [double]")).write.option("header", True).option("quote", "\u0000").csv(path)
     return files.read_csv(spark, path, bad="drop")
+
+
+@query("src_late_type", "SELECT p_partkey, CASE WHEN p_partkey % 1000 = 999 THEN p_size + 0.5 ELSE p_size END AS size, CASE WHEN p_partkey % 500 = 499 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS note FROM part")
+def src_late_type(spark: SparkSession, d: str) -> DataFrame:
+    """Columns whose type shows only in late rows: no cell becomes null."""
+    path = _scratch(spark, "late") + ".csv"
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    files.write(_parts(spark, d).orderBy("p_partkey").select("p_partkey", F.when(key % 1000 == 999, F.concat(size, F.lit(".5"))).otherwise(size).alias("size"), F.when(key % 500 == 499, "n/a").otherwise(size).alias("note")), path)
+    return files.read_csv(spark, path)

@@ -31,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     root = os.path.dirname(package)
     app = spark.sparkContext.applicationId
     found = os.path.realpath(os.getcwd()) == os.path.realpath(root) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if app in _SHIPPED or (found and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)):
+    if app in _SHIPPED or (found and is_local(spark)):
         return
     folder = tempfile.mkdtemp(prefix="quillon-ship-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -42,8 +42,9 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one machine)
-    a temporary folder is chosen and set, and removed at the end.
+    The cluster names it in ``spark.checkpoint.dir``. Only on one machine (a local master) may it be unset;
+    then a temporary folder is chosen and set, and removed at the end. On a cluster a machine-local folder
+    would lose what other machines write, so that an unset folder raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -51,21 +52,50 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return jsc.getCheckpointDir().get()
+    if not is_local(spark):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="quillon-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple[object, object]:
+    """(file system, path) of the JVM for a path of any scheme."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, under one folder of this run, which is removed when the driver ends."""
+    shared = shared_dir(spark).rstrip("/")
+    key = (spark.sparkContext.applicationId, shared)
+    if key not in _FOLDERS:
+        fs, where = hadoop_path(spark, f"{shared}/quillon-{uuid.uuid4().hex}")
+        # The file system marks only paths that exist, so the folder is made first.
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+        _FOLDERS[key] = f"{shared}/{where.getName()}"
+    return f"{_FOLDERS[key]}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a parquet table in the shared folder and read it back.
 
-    This cuts the lineage in a way that survives the loss of executors.
+    This cuts the lineage in a way that survives the loss of executors. The table is removed when the
+    driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def blank_trim(col: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.plans.ir import ModelError, Node
+from quillon.session import hadoop_path, is_local, shared_dir
 
 #: Type names of headers and their Spark types.
 HEADER_TYPES = {"string": "string", "category": "string", "integer": "bigint", "int": "bigint", "int64": "bigint", "float": "float", "double": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp"}
@@ -26,7 +27,7 @@ def format_of(path: str, given: str | None = None) -> str:
     if given:
         return given.lower()
     end = path.rstrip("/").rpartition(".")[2].lower()
-    kinds = {"csv": "csv", "tsv": "csv", "txt": "csv", "xml": "xml", "nab": "nab", "parquet": "parquet", "xtbl": "parquet"}
+    kinds = {"avro": "avro", "csv": "csv", "tsv": "csv", "txt": "csv", "xml": "xml", "nab": "nab", "parquet": "parquet", "xtbl": "parquet"}
     if end not in kinds:
         raise ValueError(f"format of {path!r} is not known")
     return kinds[end]
@@ -54,11 +55,28 @@ def sniff(values: Sequence[str]) -> str:
     return "string"
 
 
+_WHOLE, _REAL = r"^\s*[+-]?[0-9]{1,18}\s*$", r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\s*$|^\s*([+-]?inf(inity)?|nan)\s*$"
+
+
+def infer_types(cells: DataFrame) -> dict[str, str]:
+    """bigint, double or string for each string column, by all its rows: one aggregate, one row back.
+
+    Null and empty cells count for nothing; a column without any other is a string.
+    """
+    if not cells.columns:
+        return {}
+    filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    tests = [F.every(filled(c).rlike(r)).alias(f"{k}_{i}") for i, c in enumerate(cells.columns) for k, r in (("w", _WHOLE), ("r", _REAL))]
+    found = cells.agg(*tests).first()
+    return {c: "bigint" if found[f"w_{i}"] else "double" if found[f"r_{i}"] else "string" for i, c in enumerate(cells.columns)}
+
+
 def read_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", types: dict[str, str] | None = None, bad: str = "keep") -> DataFrame:
     """Delimited files with a header in each.
 
-    Types come from ``types``, the header's ``[type]``, or a look at the first rows. ``bad`` is keep (cells
-    that fail become null), drop or fail. Headers of all files must agree.
+    Types come from ``types``, the header's ``[type]``, or a pass over all rows, so that no cell is lost by
+    a type that only the first rows have. ``bad`` tells what becomes of cells that fail a given type: keep
+    (they become null), drop (their rows go) or fail. Headers of all files must agree.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(paths).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"))
@@ -67,11 +85,49 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], sep: str = ",", ty
     if len(seen) != 1:
         raise ValueError("no header, or headers differ between files")
     header = read_header(seen[0], sep)
-    first = spark.read.option("header", True).option("sep", sep).csv(paths).limit(100).collect()
-    kinds = {n: (types or {}).get(n) or t or sniff([r[k] for r in first]) for k, (n, t) in enumerate(header)}
+    reader = spark.read.option("header", True).option("sep", sep).option("enforceSchema", True)
+    kinds = {n: (types or {}).get(n) or t for n, t in header}
+    if open_ones := [n for n, k in kinds.items() if k is None]:
+        texts = reader.schema(", ".join(f"`{n}` string" for n in kinds)).csv(paths)
+        kinds |= infer_types(texts.select(*[F.col(f"`{n}`") for n in open_ones]))
     schema = ", ".join(f"`{n}` {k}" for n, k in kinds.items())
     mode = {"keep": "PERMISSIVE", "drop": "DROPMALFORMED", "fail": "FAILFAST"}[bad]
-    return spark.read.option("header", True).option("sep", sep).option("mode", mode).option("enforceSchema", True).schema(schema).csv(paths)
+    return reader.option("mode", mode).schema(schema).csv(paths)
+
+
+def stream_csv(spark: SparkSession, folder: str, schema: str, sep: str = ",", header: bool = True) -> DataFrame:
+    """Delimited files as a stream, each new file once; a stream's schema must be given."""
+    return spark.readStream.option("header", header).option("sep", sep).schema(schema).csv(folder)
+
+
+def stream_xml(spark: SparkSession, folder: str, schema: str, row: str = "row") -> DataFrame:
+    """Row elements as a stream of text files with one element a line, as write_scores makes them."""
+    return spark.readStream.text(folder).select(F.from_xml("value", schema, {"rowTag": row}).alias("r")).where("r is not null").select("r.*")
+
+
+def stream_lines(spark: SparkSession, host: str, port: int, schema: str, kind: str = "csv", sep: str = ",") -> DataFrame:
+    """Records a peer sends over a socket, one a line: delimited, JSON or one XML element."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    parsed = {"csv": lambda: F.from_csv("value", schema, {"sep": sep}), "json": lambda: F.from_json("value", schema), "xml": lambda: F.from_xml("value", schema)}[kind]()
+    return lines.select(parsed.alias("r")).where("r is not null").select("r.*")
+
+
+def read_framed(spark: SparkSession, paths: str | Sequence[str], schema: str, end: str = "</Event>", name: str = "Event") -> DataFrame:
+    """XML elements in a byte stream without line structure, framed by their closing tag."""
+    frames = spark.read.option("lineSep", end).text(paths)
+    whole = F.concat(F.regexp_replace("value", rf"(?s)^.*?(?=<{name}[\s>])", ""), F.lit(end))
+    return frames.where(F.col("value").rlike(rf"<{name}[\s>]")).select(F.from_xml(whole, schema, {"rowTag": name}).alias("r")).select("r.*")
+
+
+def read_avro(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None) -> DataFrame:
+    """Avro files, if the session has Spark's avro module (``spark.jars.packages``); else a plain error says so."""
+    try:
+        reader = spark.read.format("avro")
+        return (reader.option("avroSchema", schema) if schema else reader).load(paths)
+    except Exception as err:
+        if "avro" in str(err).lower():
+            raise ValueError("Avro files need the module spark-avro on the session's class path") from err
+        raise
 
 
 def read_xml(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None, row: str = "row") -> DataFrame:
@@ -103,40 +159,45 @@ def read_nab(spark: SparkSession, paths: str | Sequence[str], fields: Sequence[t
                     raise ValueError("no RecArray header")
                 yield pd.DataFrame(np.frombuffer(body, kind, len(body) // kind.itemsize).copy())
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.nab").load(paths).select("content").mapInPandas(run, schema)
 
 
 def write_nab(df: DataFrame, path: str, fields: Sequence[tuple[str, str]]) -> None:
-    """One packed file a partition, written by the tasks themselves into a folder all share."""
+    """One packed file a partition, written by the tasks to any file system pyarrow knows by its URI.
+
+    The folder must be new or empty: nothing in it is deleted. A task that is run again writes the same
+    name again. Machine-local folders are refused on a cluster.
+    """
+    spark = df.sparkSession
     kind = np.dtype([(n, f) for n, f in fields])
     header = f"RecArray names={','.join(n for n, _ in fields)} formats={','.join(f for _, f in fields)}\n".encode()
-    target = re.sub(r"^file:/*", "/", path)
+    fs, where = hadoop_path(spark, path)
+    if fs.exists(where) and len(fs.listStatus(where)):
+        raise ValueError(f"{path} is not empty")
+    if fs.getScheme() == "file" and not is_local(spark) and not path.startswith(shared_dir(spark)):
+        raise ValueError(f"{path} is local to each machine")
+    fs.mkdirs(where)
+    target = fs.makeQualified(where).toString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        import uuid
-
-        parts = []
-        for frame in frames:
-            block = np.empty(len(frame), kind)
-            for n, _ in fields:
-                block[n] = frame[n].to_numpy()
-            parts.append(block.tobytes())
-        os.makedirs(target, exist_ok=True)
-        name = f"{target}/part-{uuid.uuid4().hex}"
-        with open(f"{name}.tmp", "wb") as out:
-            out.write(header + b"".join(parts))
-        # A task that is run again leaves a half-written file under another name, which no reader takes.
-        os.rename(f"{name}.tmp", f"{name}.nab")
-        yield pd.DataFrame({"file": [f"{name}.nab"]})
-
-    kept = {r["file"] for r in df.select(*[n for n, _ in fields]).mapInPandas(run, "file string").toLocalIterator()}
-    import glob
-    import os
-
-    for f in glob.glob(f"{target}/*"):
-        if f not in kept:
-            os.remove(f)
+        from pyarrow import fs as arrow_fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, folder = arrow_fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", target))
+        name = f"{folder}/part-{task.partitionId():05d}"
+        with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
+            out.write(header)
+            for frame in frames:
+                block = np.empty(len(frame), kind)
+                for n, _ in fields:
+                    block[n] = frame[n].to_numpy()
+                out.write(block.tobytes())
+        # Only a whole file gets the name that readers take.
+        store.move(f"{name}.{task.taskAttemptId()}.tmp", f"{name}.nab")
+        yield pd.DataFrame({"n": [1]})
+
+    df.select(*[n for n, _ in fields]).mapInPandas(run, "n int").agg(F.sum("n")).collect()
 
 
 def write(df: DataFrame, path: str, kind: str | None = None, **options: str) -> None:
@@ -156,7 +217,8 @@ def write(df: DataFrame, path: str, kind: str | None = None, **options: str) ->
 def write_scores(scored: DataFrame, path: str, kind: str = "xml", name: str = "Event") -> None:
     """Score records as XML elements or JSON lines."""
     record = F.struct(*[F.col(c) for c in scored.columns])
-    line = F.to_json(record) if kind == "json" else F.regexp_replace(F.to_xml(record, {"rowTag": name}), r"\s*\n\s*", "")
+    # Line breaks between elements go; those inside a value travel as character references.
+    line = F.to_json(record) if kind == "json" else F.regexp_replace(F.regexp_replace(F.to_xml(record, {"rowTag": name}), r">\s*\n\s*<", "><"), r"\r?\n", "&#10;")
     scored.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -177,7 +239,7 @@ def read_jdbc(spark: SparkSession, url: str, dbtable: str, key: str | None = Non
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options) -> DataFrame:
     kind = format_of(path, kind)
-    readers = {"csv": read_csv, "xml": read_xml, "nab": read_nab, "parquet": lambda s, p: s.read.parquet(p)}
+    readers = {"avro": read_avro, "csv": read_csv, "xml": read_xml, "nab": read_nab, "parquet": lambda s, p: s.read.parquet(p)}
     return readers[kind](spark, path, **options)
 
 
