@@ -254,7 +254,7 @@ def src_malformed_rows(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark, "bad") + ".csv"
     size = F.when(F.col("p_partkey") % 10 == 3, F.lit("oops")).otherwise(F.col("p_size").cast("string"))
     cells = F.concat_ws(",", F.col("p_partkey").cast("string"), size, F.when(F.col("p_partkey") % 7 != 2, F.col("p_retailprice").cast("string")))
-    _parts(spark, d).select(cells.alias("k [integer],size [integer],price [double]")).write.option("header", True).option("quote", "\u0000").csv(path)
+    _parts(spark, d).select(cells.alias("k [integer],size [integer],price [double]")).write.option("header", True).option("sep", "\t").csv(path)
     return files.read_csv(spark, path, bad="drop")
 
 
