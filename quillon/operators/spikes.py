@@ -4,8 +4,11 @@ Each source's readings are numbered in time order by a two-step prefix sum (rows
 offsets), cut into blocks of equal length with a halo on both sides, and filtered block by block, so a
 source with a third of all rows spreads over many tasks. A local-level Kalman filter runs over each block:
 the observation variance grows with the level by the source's own coefficient, readings whose standardised
-innovation passes the gate are flagged and their update withheld. Stuck runs are found by run length, not by
-the variance of innovations: equal readings are exactly equal, and they are taken out before the filter runs.
+innovation passes the gate are flagged and their update withheld. A backward pass smooths the level, and a
+flagged reading is a spike if its innovation against the smoothed level, which flagged readings never moved,
+reaches ten times the usual scatter. Stuck runs are those over which the innovation variance vanishes: a source
+that repeats itself has no observation noise, so the filter follows it with a gain of one and its innovations
+are the steps from reading to reading.
 """
 
 from __future__ import annotations
@@ -28,22 +31,18 @@ def first_deliveries(df: DataFrame, id_col: str, arrival: str, cols: dict[str, C
     return picked.groupBy("reading_id").agg(F.min(F.struct("arrival", *cols)).alias("f")).select("reading_id", *[F.col(f"f.{n}").alias(n) for n in cols])
 
 
-def numbered(readings: DataFrame, around: int = 3) -> DataFrame:
+def numbered(readings: DataFrame) -> DataFrame:
     """Adds ``pos``, the place of each reading in its source's order, and ``coef``, the source's usual scatter.
 
-    ``coef`` is 1.4826 times the median of |volume - local median| / sqrt(level) over all sound readings of
-    the source, the local median taken over ``around`` readings on each side.
+    ``coef`` is 1.4826 times the median of |volume - mean of both neighbours| / sqrt(1.5 × level) over all
+    sound readings of the source: a steady rise or fall of the level cancels in it.
     """
     day = F.floor(F.unix_micros("at") / 86_400_000_000)
     order = W.partitionBy("source", "day").orderBy("at", "reading_id")
-    beside = F.array_compact(F.array(*[f("volume", k).over(order) for k in range(1, around + 1) for f in (F.lag, F.lead)]))
-    rows = readings.withColumn("day", day).withColumn("nth", F.row_number().over(order)).withColumn("beside", F.sort_array(beside))
-    n = F.size("beside")
-    level = (F.element_at("beside", (F.floor((n + 1) / 2)).cast("int")) + F.element_at("beside", (F.floor(n / 2) + 1).cast("int"))) / 2.0
-    rows = rows.withColumn("level", F.when(n >= 2, level)).drop("beside")
+    rows = readings.withColumn("day", day).withColumn("nth", F.row_number().over(order)).withColumn("level", (F.lag("volume").over(order) + F.lead("volume").over(order)) / 2)
     rows = materialise(rows, "readings")
     sound = F.col("volume").between(F.lit(0), F.coalesce("most", F.lit(2**62)))
-    z = F.when(sound, F.abs(F.col("volume") - F.col("level")) / F.sqrt(F.greatest("level", F.lit(1.0))))
+    z = F.when(sound, F.abs(F.col("volume") - F.col("level")) / F.sqrt(1.5 * F.greatest("level", F.lit(1.0))))
     coef = rows.groupBy("source").agg((F.percentile_approx(z, 0.5, 1000) * 1.4826).alias("coef"))
     upto = W.partitionBy("source").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
     days = rows.groupBy("source", "day").count().withColumn("before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
@@ -51,38 +50,41 @@ def numbered(readings: DataFrame, around: int = 3) -> DataFrame:
     return rows.join(days, ["source", "day"]).withColumn("pos", F.col("before") + F.col("nth") - 1).drop("before", "nth", "day", "level")
 
 
-def equal_run(v: np.ndarray) -> np.ndarray:
-    """Length of the run of equal values that each entry is in: over that run the innovations vanish."""
-    if not len(v):
-        return np.zeros(0, int)
-    start = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    length = np.diff(np.r_[start, len(v)])
-    return np.repeat(length, length)
+def still(v: np.ndarray, run: int) -> np.ndarray:
+    """Which entries lie in ``run`` or more successive ones over which the variance of the innovations is nil."""
+    out = np.zeros(len(v), bool)
+    if len(v) < run:
+        return out
+    innovation = np.diff(v).astype(float)
+    # A window of innovations that are all nil has mean square nil; the sums of zeros and ones are exact.
+    moved = np.r_[0, np.cumsum(innovation != 0)]
+    calm = np.flatnonzero(moved[run - 1 :] == moved[: len(moved) - run + 1])
+    edge = np.zeros(len(v) + 1, int)
+    np.add.at(edge, calm, 1)
+    np.add.at(edge, calm + run, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
-def kalman_flags(v: np.ndarray, coef: float, gate: float = 6.0, drift: float = 0.25, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Flags and standardised innovations of a local-level filter that withholds flagged updates.
+def smoothed(v: np.ndarray, coef: float, gate: float = 5.0, drift: float = 0.25, longest: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Flags, and the smoothed level, of a local-level filter that withholds flagged updates.
 
     The state is the traffic level with variance ``p``; the observation variance is coef² × level. More
-    than ``longest`` flagged readings in a row are no spike but a new level: they lose their flags and the
-    filter starts anew from them.
+    than ``longest`` flagged readings in a row are a new level: the filter starts anew from them, only those
+    far off the new level stay flagged, and nothing is smoothed across that break.
     """
     n = len(v)
-    flags, score = np.zeros(n, bool), np.zeros(n)
+    flags = np.zeros(n, bool)
     if not n:
-        return flags, score
-    values = v.tolist()
+        return flags, np.zeros(0)
+    values, levels, spread, ahead = v.tolist(), [0.0] * n, [0.0] * n, [0.0] * n
     level, c2, out = float(np.median(v[:5])), coef * coef, 0
     p = c2 * max(level, 1.0)
-    i = 0
-    while i < n:
+    for i in range(n):
         r = c2 * max(level, 1.0)
         p += drift * r
-        e = values[i] - level
-        s = p + r
-        z = e / s**0.5
-        score[i] = z
-        if -gate <= z <= gate:
+        ahead[i] = p
+        e, s = values[i] - level, p + r
+        if e * e <= gate * gate * s:
             k = p / s
             level += k * e
             p *= 1 - k
@@ -91,52 +93,37 @@ def kalman_flags(v: np.ndarray, coef: float, gate: float = 6.0, drift: float = 0
             flags[i] = True
             out += 1
             if out > longest:
-                flags[i - out + 1 : i + 1] = False
-                level = float(np.median(v[i - out + 1 : i + 1]))
+                last = v[i - out + 1 : i + 1]
+                level = float(np.median(last))
                 p = c2 * max(level, 1.0)
+                # A spike at the foot of a steep rise stays one: each is seen anew from the new level.
+                flags[i - out + 1 : i + 1] = (last - level) ** 2 > gate * gate * 2 * p
+                for j in range(i - out + 1, i + 1):
+                    levels[j], spread[j], ahead[j] = level, p, p
+                ahead[i - out + 1] = float("inf")
                 out = 0
-        i += 1
-    return flags, score
+        levels[i], spread[i] = level, p
+    for i in range(n - 2, -1, -1):
+        levels[i] += spread[i] / ahead[i + 1] * (levels[i + 1] - levels[i])
+    return flags, np.array(levels)
 
 
-def confirm(v: np.ndarray, flags: np.ndarray, coef: float, times: float, longest: int, around: int = 2, margin: float = 0.7) -> np.ndarray:
-    """Keeps flagged runs of at most ``longest`` that lie ``times`` the usual scatter off, to one side, of the sound readings just before and after.
-
-    Level and scatter are estimates, and on a slope both sides pull the level: ``margin`` is the share of
-    ``times`` that is asked of the estimated distance. Ordinary readings stay below 5.
-    """
-    kept = np.zeros(len(v), bool)
-    edge = np.flatnonzero(np.diff(np.r_[0, flags.view(np.int8), 0]))
-    sound = np.flatnonzero(~flags)
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        if b - a > longest:
-            continue
-        k = np.searchsorted(sound, a)
-        sides = [np.mean(v[x]) for x in (sound[max(0, k - around) : k], sound[k : k + around]) if len(x)]
-        if not sides:
-            continue
-        scatter = coef * max(float(np.mean(sides)), 1.0) ** 0.5
-        off = np.array([v[a:b] - s for s in sides]) / scatter
-        # Both sides must agree; a run's members may differ, each is judged alone.
-        kept[a:b] = (off >= margin * times).all(axis=0) | (off <= -margin * times).all(axis=0)
-    return kept
-
-
-def judge(frame: pd.DataFrame, run: int = 8, times: float = 10.0, longest: int = 3, floor: float = 0.5, gate: float = 6.0) -> pd.DataFrame:
+def judge(frame: pd.DataFrame, run: int = 8, times: float = 10.0, longest: int = 3, floor: float = 0.5) -> pd.DataFrame:
     """Faults of one block, its halo included in the input but not in the output."""
     frame = frame.sort_values("pos")
     v = frame["volume"].to_numpy(dtype=np.int64)
     most = frame["most"].to_numpy(dtype=float)
     impossible = (v < 0) | (v > np.where(np.isnan(most), np.inf, most))
-    stuck = (equal_run(v) >= run) & ~impossible
+    stuck = still(v, run) & ~impossible
     c = frame["coef"].iloc[0]
-    # The floor stands in only for a source that hardly ever moves off its local median.
+    # The floor stands in only for a source that hardly ever moves off its neighbours.
     coef = (float(c) if c > 0 else floor) if c is not None and c == c else 1.0
     sound = np.flatnonzero(~impossible & ~stuck)
     x = v[sound].astype(float)
-    flags, score = kalman_flags(x, coef, gate, longest=longest)
+    flags, level = smoothed(x, coef, longest=longest)
+    score = (x - level) / (coef * np.sqrt(np.maximum(level, 1.0)))
     spike, scores = np.zeros(len(v), bool), np.zeros(len(v))
-    spike[sound], scores[sound] = confirm(x, flags, coef, times, longest), score
+    spike[sound], scores[sound] = flags & (np.abs(score) >= times), score
     fault = np.where(impossible, "impossible", np.where(stuck, "stuck", np.where(spike, "spike", "")))
     out = pd.DataFrame({"reading_id": frame["reading_id"].to_numpy(), "fault": fault.astype(object), "score": scores})
     return out[(fault != "") & frame["core"].to_numpy()]

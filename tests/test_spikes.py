@@ -50,8 +50,16 @@ def test_empty_null_and_missing_limits(spark):
 
 
 def test_runs():
-    assert K.equal_run(np.array([1, 1, 2, 2, 2, 1])).tolist() == [2, 2, 3, 3, 3, 1]
-    assert K.equal_run(np.array([], int)).tolist() == []
+    assert K.still(np.array([1, 1, 2, 2, 2, 1]), 3).tolist() == [False, False, True, True, True, False]
+    assert K.still(np.array([1, 1, 2, 2, 2, 1]), 2).tolist() == [True, True, True, True, True, False]
+    assert K.still(np.array([], int), 3).tolist() == [] and K.still(np.array([7, 7]), 3).tolist() == [False, False]
+
+
+def test_spike_on_a_steep_rise(spark):
+    v = series(200, level=160)
+    v[100:112] = [160, 165, 170, 608, 214, 225, 245, 260, 270, 280, 290, 300]
+    v[112:] = series(88, 5, 310)
+    assert {r.reading_id: r.fault for r in K.faulty_readings(frame(spark, v)).collect()} == {103: "spike"}
 
 
 def test_quiet_sources_keep_their_own_scatter(spark):
