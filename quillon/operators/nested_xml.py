@@ -1,8 +1,9 @@
 """Deeply nested records to flat tables that keep their parent links.
 
 One depth-first pass of an expat visitor over each file emits tagged rows: a table tag, a primary key, a
-parent key and a payload. Files are independent, so the pass is one narrow stage; the tagged rows can be
-written partitioned by tag and read back under each table's own schema.
+parent key and a payload. Files are independent, so the pass is one narrow stage; the tagged rows are
+written partitioned by tag and read back under each table's own schema, so that every file is parsed once
+whatever the number of tables.
 """
 
 from __future__ import annotations
@@ -103,9 +104,13 @@ def tagged_rows(df: DataFrame, origin: str, name_col: str, text_col: str) -> Dat
     return spread(chosen).mapInPandas(run, TAGGED)
 
 
-def write_tables(tagged: DataFrame, path: str) -> None:
-    """Write the emission partitioned by tag."""
+def write_tables(tagged: DataFrame, path: str) -> DataFrame:
+    """Writes the emission partitioned by tag and reads it back: each table then scans its own partition only.
+
+    An empty emission reads back as an empty one.
+    """
     tagged.write.mode("overwrite").partitionBy("tag").parquet(path)
+    return tagged.sparkSession.read.schema(tagged.schema).parquet(path)
 
 
 SCHEMAS = {

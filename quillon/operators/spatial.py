@@ -2,7 +2,7 @@
 
 Near: every point enters a grid whose cell size follows its own range (a power of four). As a pair counts
 only within the smaller of the two ranges, the point of the smaller range looks for partners at its own
-level, and each point is registered at its level and all finer ones. Candidates therefore stay in
+level, and each point is registered at its level and those finer ones that the data has. Candidates therefore stay in
 proportion to the result whatever the mix of ranges, and no row is capped. A cell is one packed number.
 
 Inside: polygon edges are binned into latitude strips and longitude tiles, points join the edges of their
@@ -18,7 +18,7 @@ from quillon.session import materialise
 
 EARTH_KM = 6371.0088
 KM_PER_DEGREE = EARTH_KM * 3.141592653589793 / 180
-#: Grid levels: cells of 4**level km, from 4 m to more than half the globe.
+#: Grid levels: ranges up to 4**level km, from 4 m to more than half the globe.
 FINEST = -4
 COARSEST = 8
 
@@ -45,7 +45,8 @@ def _level(range_km: Column) -> Column:
 
 
 def _size(level: Column) -> Column:
-    return F.pow(F.lit(4.0), level.cast("double"))
+    # Twice the longest range of the level: a circle then meets two or three cells on average, not five.
+    return F.pow(F.lit(4.0), level.cast("double")) * 2
 
 
 def _row_of(lat: Column, level: Column) -> Column:
@@ -72,7 +73,10 @@ def near_pairs(points: DataFrame, hot_cell: int = 4000, broadcast_rows: int = 20
     task meets a whole hot cell; their probes are repeated for each part.
     """
     ranged = points.filter("range_km > 0 and not isnan(range_km)")
-    regs = ranged.withColumn("at", F.explode(F.sequence(F.lit(FINEST), _level(F.col("range_km"))))).withColumn("row", _row_of(F.col("lat"), F.col("at")))
+    # At most thirteen levels come back.
+    present = sorted(r["at"] for r in ranged.select(_level(F.col("range_km")).alias("at")).distinct().collect())
+    finer = F.filter(F.array(*[F.lit(v) for v in present]).cast("array<int>"), lambda v: v <= _level(F.col("range_km")))
+    regs = ranged.withColumn("at", F.explode(finer)).withColumn("row", _row_of(F.col("lat"), F.col("at")))
     regs = regs.withColumn("cols", _columns_in(F.col("row"), F.col("at")))
     cell = F.pmod(F.floor((F.col("lon") + 180) / 360 * F.col("cols")), F.col("cols"))
     regs = regs.select(_packed(F.col("at"), F.col("row"), cell).alias("cell"), F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("range_km").alias("range2"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon import queries_functions, queries_models, queries_tables, queries_training  # noqa: F401
 from quillon.operators import nested_xml, reject_rows, rolling, spatial, spikes
 from quillon.registry import QUERIES, SQL, query
-from quillon.session import folded, materialise, table
+from quillon.session import folded, materialise, scratch, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -147,8 +147,10 @@ def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """The emission of both origins, each file parsed once, written partitioned by tag and read back."""
     models = nested_xml.tagged_rows(table(spark, d, "models"), "models", "model_name", "pmmlfile")
-    return models.unionByName(nested_xml.tagged_rows(table(spark, d, "configs"), "configs", "config_name", "configfile"))
+    both = models.unionByName(nested_xml.tagged_rows(table(spark, d, "configs"), "configs", "config_name", "configfile"))
+    return nested_xml.write_tables(both, scratch(spark, "nested"))
 
 
 @query("p5_found")

@@ -58,3 +58,68 @@ def test_tagged_write(spark, tmp_path):
     X.write_tables(X.tagged_rows(df, "models", "n", "x"), str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))
     assert X.flat_table(back, "count").first().count_count == 3.0 and X.flat_table(back, "segment").first().segment_weight == 0.5
+
+
+def by_tree(name, text, configs):
+    """The links of one file by a plain recursive walk over a tree."""
+    import xml.etree.ElementTree as ET
+
+    try:
+        root = ET.fromstring(text)
+    except (ET.ParseError, ValueError):
+        return set()
+    tag, out = (lambda e: e.tag.rpartition("}")[2].rpartition(":")[2]), set()
+
+    def model(e, path, inside):
+        place = 0
+        for child in e:
+            down, within = path, inside
+            if tag(child) == "Segment":
+                place += 1
+                key = child.get("id", f"#{place}")
+                down, within = (f"{path}/{key}" if inside else key), True
+                out.add(("models", name, "segment", path, down))
+            elif tag(child) == "FieldValueCount":
+                out.add(("models", name, "count", path, f"{child.get('field', '')}={child.get('value', '')}"))
+            model(child, down, within)
+
+    def config(schema):
+        seen = {}
+        for group in schema:
+            seen[tag(group)] = seen.get(tag(group), 0) + 1
+            path = f"{tag(group)}#{seen[tag(group)]}"
+            for dim in group:
+                if tag(dim).endswith("Dimension"):
+                    at = f"{path}/{dim.get('field', '')}"
+                    out.add(("configs", name, "dimension", path, at))
+                    for b in dim:
+                        if tag(b) in ("Selection", "Partition"):
+                            label = b.get("value", "") if tag(b) == "Selection" else f"{b.get('low', '')}..{b.get('high', '')}"
+                            out.add(("configs", name, "bin", at, f"{at}/{label}"))
+
+    if configs:
+        for e in root.iter():
+            if tag(e) == "SegmentationSchema":
+                config(e)
+    else:
+        model(root, "", False)
+    return out
+
+
+def test_links_of_whole_tables_against_a_tree_walk(spark):
+    import os
+
+    from quillon.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.exists(d):
+        return
+    want = set()
+    for name, key, text in (("models", "model_name", "pmmlfile"), ("configs", "config_name", "configfile")):
+        for r in spark.read.parquet(f"{d}/{name}.parquet").collect():
+            if r[text]:
+                want |= by_tree(r[key], r[text], name == "configs")
+    got = [tuple(r[c] for c in ("origin", "file_name", "link_kind", "parent_path", "child_path")) for r in QUERIES["p5_found"](spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert QUERIES["p5_count_table"](spark, d).select("file_name", "parent_pk", "pk").distinct().count() == len({(w[1], w[3], w[4]) for w in want if w[2] == "count"})
+    assert QUERIES["p5_bin_table"](spark, d).select("file_name", "parent_pk", "pk").distinct().count() == len({(w[1], w[3], w[4]) for w in want if w[2] == "bin"})
