@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon import formula
+from quillon.operators import blocks
 
 
 def evaluate(df: DataFrame, expressions: str, names: Sequence[str]) -> DataFrame:
@@ -40,12 +41,7 @@ def apply_rules(df: DataFrame, rules: Mapping[str, str]) -> DataFrame:
 
 def add_index(df: DataFrame, order: Sequence[str], out: str = "row_no", pieces: int | None = None) -> DataFrame:
     """Numbers all rows from 0 in order: counts of range partitions give offsets, so no task sees all rows."""
-    n = pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    counts = ranged.groupBy("__p").count()
-    offsets = counts.withColumn("__o", F.coalesce(F.sum("count").over(W.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    local = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1
-    return ranged.withColumn("__l", local).join(F.broadcast(offsets), "__p").withColumn(out, (F.col("__l") + F.col("__o")).cast("bigint")).drop("__p", "__l", "__o")
+    return blocks.numbered(df, [], order, out, pieces).withColumn(out, F.col(out).cast("bigint"))
 
 
 def slice_rows(df: DataFrame, order: Sequence[str], start: int = 0, stop: int | None = None, stride: int = 1) -> DataFrame:
@@ -126,8 +122,10 @@ def top_by_field(df: DataFrame, fields: Sequence[str], k: int) -> DataFrame:
     """(field, value, count) of the k most frequent values of each field; ties at the cut are kept."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("c")).select("c.*").where("value is not null")
     totals = stacked.groupBy("field", "value").count()
-    ranked = totals.withColumn("__r", F.rank().over(W.partitionBy("field").orderBy(F.col("count").desc())))
-    return ranked.where(F.col("__r") <= k).drop("__r")
+    # The best of each of 64 parts of a field's values first, so that no task ranks all of them.
+    part = F.pmod(F.xxhash64("value"), F.lit(64))
+    best = totals.withColumn("__r", F.rank().over(W.partitionBy("field", part).orderBy(F.col("count").desc()))).where(F.col("__r") <= k)
+    return best.withColumn("__r", F.rank().over(W.partitionBy("field").orderBy(F.col("count").desc()))).where(F.col("__r") <= k).drop("__r")
 
 
 def sample(df: DataFrame, k: int, key: str, seed: int = 1) -> DataFrame:
@@ -136,8 +134,9 @@ def sample(df: DataFrame, k: int, key: str, seed: int = 1) -> DataFrame:
 
 
 def segment_counts(df: DataFrame, segment: str, amount: str) -> DataFrame:
-    """Each row with its segment's total."""
-    return df.withColumn("event_count", F.sum(amount).over(W.partitionBy(segment)))
+    """Each row with its segment's total; a null segment is one of its own. Totals are added up before they are joined."""
+    totals = df.groupBy(F.col(segment).alias("__s")).agg(F.sum(amount).alias("event_count"))
+    return df.drop("event_count").join(totals, F.col(segment).eqNullSafe(F.col("__s"))).drop("__s")
 
 
 def match_segments(events: DataFrame, segments: DataFrame, low: str, high: str, x: str, equal: Mapping[str, str] | None = None, bucket: float = 10.0) -> DataFrame:
@@ -188,10 +187,13 @@ def gini(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
 
 def freedman_diaconis(df: DataFrame, x: str, padding: float = 0.2) -> tuple[float, float, int]:
     """(low, high, bins): width 2·IQR·n^(-1/3), the range padded."""
-    r = df.agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"), F.count(x).alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).first()
+    r = df.agg(F.count(x).alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).first()
+    if not r["n"]:
+        return 0.0, 1.0, 10
+    q1, q3 = blocks.percentiles(df, [], x, (0.25, 0.75)).first()["levels"]
     span = (r["b"] - r["a"]) or 1.0
     low, high = r["a"] - padding * span / 2, r["b"] + padding * span / 2
-    width = 2 * (r["q3"] - r["q1"]) / max(1, r["n"]) ** (1 / 3)
+    width = 2 * (q3 - q1) / max(1, r["n"]) ** (1 / 3)
     return low, high, max(1, min(10_000, int((high - low) / width))) if width > 0 else 10
 
 
@@ -216,7 +218,8 @@ def box_and_whisker(df: DataFrame, x: str, y: str, low: float | None = None, hig
     width = ((high - low) / slices) or 1.0
     rows = rows.where((F.col(x) >= low) & (F.col(x) < high if top is None else F.col(x) <= high))
     place = F.floor((F.col(x) - low) / width)
-    return rows.groupBy((place if top is None else F.least(place, F.lit(slices - 1))).cast("int").alias("slice")).agg(F.percentile(y, [float(v) for v in levels]).alias("levels"))
+    sliced = rows.select((place if top is None else F.least(place, F.lit(slices - 1))).cast("int").alias("slice"), F.col(y).alias("__v"))
+    return blocks.percentiles(sliced, ["slice"], "__v", levels)
 
 
 def curve(spark, text: str, low: float, high: float, samples: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quillon.operators import blocks
 from quillon.plans import models
 from quillon.plans.ir import Node
 
@@ -29,10 +30,7 @@ def pseudo_events(stream: DataFrame, time: str, every: str, x: str, by: tuple[st
 
 def counted_pseudo_events(df: DataFrame, n: int, order: tuple[str, ...], by: tuple[str, ...], x: str) -> DataFrame:
     """Aggregates of every n rows of a key in order; the last batch may be shorter."""
-    from pyspark.sql import Window as W
-
-    nth = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("batch_no", F.floor(nth / n)).groupBy(*by, "batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"))
+    return blocks.numbered(df, by, order, "__nth").withColumn("batch_no", F.floor(F.col("__nth") / n)).groupBy(*by, "batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("total"))
 
 
 def online_z_values(stream: DataFrame, key: str, order: str, x: str, mature: int = 5, timeout: str = "no") -> DataFrame:
