@@ -154,6 +154,66 @@ def listed(df: DataFrame, names: DataFrame, key: str, black: bool) -> DataFrame:
     return df.join(names.select(key).distinct(), key, "left_anti" if black else "left_semi")
 
 
+def update(df: DataFrame, other: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Takes the columns of ``other`` for rows of equal key: new ones are added, known ones replaced where other has the key.
+
+    A null key matches a null key. Keys of ``other`` must be unique, or rows are repeated.
+    """
+    theirs = [c for c in other.columns if c not in key]
+    renamed = other.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], *[F.col(c).alias(f"__o_{c}") for c in theirs], F.lit(True).alias("__hit"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)])
+    both = df.join(renamed, on, "left")
+    kept = [F.when(F.col("__hit"), F.col(f"__o_{c}")).otherwise(F.col(c)).alias(c) if c in theirs else F.col(c) for c in df.columns]
+    return both.select(*kept, *[F.col(f"__o_{c}").alias(c) for c in theirs if c not in df.columns])
+
+
+def fill(df: DataFrame, rows: Sequence[Mapping]) -> DataFrame:
+    """The table with some rows more, given as mappings; absent columns are null, unknown ones raise."""
+    if unknown := {c for r in rows for c in r} - set(df.columns):
+        raise ValueError(f"no such columns: {', '.join(sorted(unknown))}")
+    return df.unionByName(df.sparkSession.createDataFrame([tuple(r.get(c) for c in df.columns) for r in rows], df.schema)) if rows else df
+
+
+def resize(df: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """The last ``most`` rows in order."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(most).orderBy(*order)
+
+
+def head(df: DataFrame, order: Sequence[str], n: int = 10) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def scan(df: DataFrame, n: int = 20, digits: int = 6) -> str:
+    """The first n rows as aligned text; missing cells are a dot. For looking at, so only n rows reach the driver."""
+    shown = [[("." if v is None else f"{v:.{digits}g}" if isinstance(v, float) else str(v)) for v in r] for r in df.limit(n).collect()]
+    lines = [df.columns, *shown]
+    widths = [max(len(line[i]) for line in lines) for i in range(len(df.columns))]
+    return "\n".join("  ".join(c.rjust(w) for c, w in zip(line, widths, strict=True)) for line in lines)
+
+
+def score_differences(a: DataFrame, b: DataFrame, key: Sequence[str], digits: int = 8) -> DataFrame:
+    """Cells of two score tables that differ; numbers are compared to ``digits`` significant digits."""
+
+    def rounded(df: DataFrame) -> DataFrame:
+        out = {}
+        for c, t in df.dtypes:
+            if c not in key and t in ("double", "float"):
+                x = F.col(c).cast("double")
+                place = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(F.abs(x))))
+                out[c] = F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(F.rint(x * place) / place)
+        return df.withColumns(out) if out else df
+
+    return difference(rounded(a), rounded(b), key)
+
+
+def gini_joint(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
+    """Impurity of two label columns taken as one, weighted by the sizes of both: (n_a·G_a + n_b·G_b) / (n_a + n_b)."""
+    x, y = gini(df, a, by).withColumnRenamed("gini", "__ga"), gini(df, b, by).withColumnRenamed("gini", "__gb")
+    n = df.groupBy(*by).agg(F.count(a).alias("__na"), F.count(b).alias("__nb"))
+    both = n.join(x, list(by), "left").join(y, list(by), "left") if by else n.crossJoin(F.broadcast(x)).crossJoin(F.broadcast(y))  # One row each without keys.
+    return both.select(*by, F.try_divide(F.col("__na") * F.coalesce("__ga", F.lit(0.0)) + F.col("__nb") * F.coalesce("__gb", F.lit(0.0)), F.col("__na") + F.col("__nb")).alias("gini"))
+
+
 # Vector helpers.
 
 

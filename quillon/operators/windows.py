@@ -7,7 +7,8 @@ leave, bounded windows by blocks with copies of their neighbours' nearest rows (
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -377,21 +378,55 @@ def scalar_product(observed: DataFrame, expected: DataFrame, scheme: str | None
     return s.select(F.when((F.col("oo") > 0) & (F.col("ee") > 0), value).alias("score"))
 
 
-def chi_square_independence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Contingency of two fields against the product of their margins; ndf = (levels_a - 1)(levels_b - 1)."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    # Over all cells Σ(n - E)²/E = Σ n²/E - N, and empty cells add nothing to the right side: no grid of levels is built.
-    ra, cb, t = F.sum("n").over(W.partitionBy(a)), F.sum("n").over(W.partitionBy(b)), F.sum("n").over(W.partitionBy(F.lit(0)))
-    sized = cells.withColumns({"ra": ra, "cb": cb, "t": t})
-    value = F.sum(F.col("n") * F.col("n") * F.col("t") / (F.col("ra") * F.col("cb"))) - F.sum("n")
-    return sized.agg(value.alias("chi_square"), ((F.countDistinct(a) - 1) * (F.countDistinct(b) - 1)).alias("ndf"))
+def chi_square_independence(df: DataFrame, *fields: str) -> DataFrame:
+    """Contingency of two or more fields against the product of their margins; ndf = Π(levels - 1). Rows with a null are skipped.
 
-
-def batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """A hook over Arrow batches: begin, each batch, end."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield fn(frame)
-
-    return df.mapInPandas(run, schema)
+    Over all cells Σ(n - E)²/E = Σ n²/E - N, and empty cells add nothing to the right side: no grid of levels is built.
+    """
+    kept = df.where(reduce(lambda p, q: p & q, [F.col(f).isNotNull() for f in fields]))
+    cells = kept.groupBy(*fields).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = cells.agg(F.sum("n").alias("t")).first()["t"]
+    if not total:
+        return df.sparkSession.createDataFrame([], "chi_square double, ndf long")
+    expected = F.lit(float(total))
+    for i, f in enumerate(fields):
+        margin = cells.groupBy(F.col(f).alias(f"__f{i}")).agg(F.sum("n").alias(f"__m{i}"))
+        cells = cells.join(margin, F.col(f) == F.col(f"__f{i}")).drop(f"__f{i}")
+        expected = expected * (F.col(f"__m{i}") / float(total))
+    levels = reduce(lambda p, q: p * q, [F.countDistinct(f) - 1 for f in fields])
+    return cells.agg((F.sum(F.col("n") * F.col("n") / expected) - float(total)).alias("chi_square"), levels.alias("ndf"))
+
+
+def distance_by_condition(observed: DataFrame, expected: DataFrame, condition: str, bin_col: str, weight: str | None = None, scheme: str | None = None) -> DataFrame:
+    """(condition, score, top_bin, top_part): the scalar product of each condition's counts with the expected ones of that condition.
+
+    Both have the condition and the bin; ``expected`` has ``count`` too. ``scheme`` as for scalar_product. The bin that adds
+    most comes with its part; of equal parts the largest bin. A condition on one side only has no score.
+    """
+    o = observed.groupBy(condition, bin_col).agg((F.count(F.lit(1)).cast("double") if weight is None else F.sum(weight).cast("double")).alias("o"))
+    e = expected.groupBy(condition, bin_col).agg(F.sum("count").cast("double").alias("e"))
+    both = o.join(e, [condition, bin_col], "full").na.fill(0.0, ["o", "e"]).where(F.col(condition).isNotNull())
+    part = F.col("o") * F.col("e")
+    s = both.groupBy(condition).agg(F.sum(part).alias("d"), F.sum(F.col("o") * F.col("o")).alias("oo"), F.sum(F.col("e") * F.col("e")).alias("ee"), F.max(F.struct(part.alias("p"), F.col(bin_col).alias("b"))).alias("top"))
+    value = {None: F.col("d"), "Independent": F.try_divide(F.col("d"), F.sqrt(F.col("oo") * F.col("ee"))), "SizeWeighted": F.try_divide(2 * F.col("d"), F.col("oo") + F.col("ee"))}[scheme]
+    return s.where("oo > 0 and ee > 0").select(condition, value.alias("score"), F.col("top.b").alias("top_bin"), F.col("top.p").alias("top_part"))
+
+
+def windowed_distance(df: DataFrame, bin_col: str, expected: DataFrame, size: int, by: Sequence[str], order: Sequence[str], out: str, scheme: str | None = None) -> DataFrame:
+    """Scalar product of the counts of the last ``size`` rows with expected counts (bin, count), row by row."""
+    e = expected.groupBy("bin").agg(F.sum("count").cast("double").alias("__e"))
+    squares = e.agg(F.sum(F.col("__e") * F.col("__e")).alias("s")).first()["s"] or 0.0
+    joined = df.join(e, F.col(bin_col) == F.col("bin"), "left").drop("bin")
+
+    def run(rows: DataFrame, w: Callable[[], WindowSpec], _: str) -> DataFrame:
+        frame = w().rowsBetween(-(size - 1), 0)
+        seen = F.collect_list(bin_col).over(frame)
+        oo = F.aggregate(F.array_distinct(seen), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(seen, lambda x: x == v)).cast("double"), F.lit(2.0)))
+        dot = F.coalesce(F.sum("__e").over(frame), F.lit(0.0))
+        if scheme is None:
+            return rows.withColumn(out, dot)
+        rows = rows.withColumns({"__d": dot, "__oo": oo})
+        value = F.try_divide(F.col("__d"), F.sqrt(F.col("__oo") * squares)) if scheme == "Independent" else F.try_divide(2 * F.col("__d"), F.col("__oo") + squares)
+        return rows.withColumn(out, value).drop("__d", "__oo")
+
+    return blocks.in_blocks(joined, by, order, size - 1, 0, run).drop("__e")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon import queries_functions, queries_models, queries_tables, queries_training  # noqa: F401
+from quillon import queries_functions, queries_models, queries_more, queries_tables, queries_training  # noqa: F401
 from quillon.operators import nested_xml, reject_rows, rolling, spatial, spikes
 from quillon.registry import QUERIES, SQL, query
 from quillon.session import folded, materialise, scratch, table

@@ -156,6 +156,18 @@ for _name, _text, _sql, _mask, _kind in _LEGACY_ROWS:
     _masked(f"fn_row_{_name}", _text, _sql, _mask, _kind, True)
 
 
+# Functions that both engines share, through the row engine's table.
+_SHARED = {"add", "subtract", "multiply", "pow", "ln", "log10", "sqrt", "exp", "abs", "floor", "ceil", "threshold", "less_than", "less_or_equal", "greater_than", "greater_or_equal", "not", "is_missing", "is_not_missing", "is_in", "is_not_in", "uppercase", "lowercase", "trim_blanks", "if"}
+for _name, _text, _sql, _mask, _kind in _ROWS:
+    if _name in _SHARED and _kind != "pow":
+        _masked(f"fn_row_{_name}", _text, _sql, _mask, _kind, True)
+for _name, _text, _sql, _mask, _kind in [
+    ("max", "max(x, y)", "CASE WHEN x IS NULL OR y IS NULL THEN NULL ELSE greatest(x, y) END", _p("x", "y"), "num"),
+    ("sum", "sum(x, y)", "x + y", _p("x", "y"), "num"),
+]:
+    _masked(f"fn_row_{_name}", _text, _sql, _mask, _kind, True)
+
+
 def _plain(name: str, text: str, sql: str, kind: str) -> None:
     shown = f"round(CAST({sql} AS DOUBLE), 6)" if kind == "num" else f"CAST({sql} AS BIGINT)" if kind == "int" else sql
 

@@ -6,6 +6,7 @@ Batches and streams share the plans of the other modules; what is here needs sta
 from __future__ import annotations
 
 import math
+import time as clock
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -96,14 +97,15 @@ def completed(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(f"{path}/data")
 
 
-def learn_stream(stream: DataFrame, x: str, by: tuple[str, ...], state_path: str, write: Callable[[DataFrame, int], None], every: int, checkpoint: str):
+def learn_stream(stream: DataFrame, x: str, by: tuple[str, ...], state_path: str, write: Callable[[DataFrame, int], None], every: int, checkpoint: str, every_seconds: float | None = None):
     """Online training: moments of each segment are merged batch by batch and handed to ``write`` each time
     ``every`` more rows are known, and at the end of a batch that finishes the input.
 
     ``by`` names at least one column. The state is a table of (segment, n, mean, m2), one version a batch, so a batch that is run again
-    starts from the version before it.
+    starts from the version before it. With ``every_seconds`` the model is also handed out when that long has passed since it last was.
     """
     spark = stream.sparkSession
+    last = [clock.monotonic()]
 
     def each(batch: DataFrame, number: int) -> None:
         new = batch.where(F.col(x).isNotNull()).groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
@@ -116,7 +118,9 @@ def learn_stream(stream: DataFrame, x: str, by: tuple[str, ...], state_path: str
         now = spark.read.parquet(f"{state_path}/v{number}")
         rows = now.agg(F.sum("n").alias("n")).first()["n"] or 0
         before = (spark.read.parquet(f"{state_path}/v{number - 1}").agg(F.sum("n").alias("n")).first()["n"] or 0) if number else 0
-        if rows // every > before // every:
+        due = every_seconds is not None and clock.monotonic() - last[0] >= every_seconds
+        if rows // every > before // every or due:
+            last[0] = clock.monotonic()
             write(now.withColumn("variance", F.when(F.col("n") >= 2, F.col("m2") / (F.col("n") - 1))), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
