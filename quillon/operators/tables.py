@@ -254,7 +254,7 @@ def freedman_diaconis(df: DataFrame, x: str, padding: float = 0.2) -> tuple[floa
     span = (r["b"] - r["a"]) or 1.0
     low, high = r["a"] - padding * span / 2, r["b"] + padding * span / 2
     width = 2 * (q3 - q1) / max(1, r["n"]) ** (1 / 3)
-    return low, high, max(1, min(10_000, int((high - low) / width))) if width > 0 else 10
+    return low, high, max(1, int((high - low) / width)) if width > 0 else 10
 
 
 def heat_map(df: DataFrame, x: str, y: str, bins: tuple[int, int], box: tuple[float, float, float, float], z: str | None = None, mean: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import glob
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,12 +14,22 @@ from pyspark.sql import functions as F
 
 from quillon import formula
 from quillon.mcol import INVALID, MISSING, VALID, MCol, literal, propagate
+from quillon.operators import windows
 from quillon.plans.ir import ModelError, Node, from_xml
 from quillon.plans.types import SPARK_TYPES, cast, in_interval, read_type
 
 EXPRESSIONS = ("Constant", "FieldRef", "NormContinuous", "NormDiscrete", "Discretize", "MapValues", "Apply", "Formula", "CastExpression", "Aggregate", "RegularExpression", "CountSubstrings")
 
 
+@dataclass
+class _Change:
+    names: list[str]
+    change: Callable[[DataFrame], DataFrame]
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
 @dataclass
 class Scope:
     """Names in reach, the macros of defined functions, and the order and grouping of running aggregates."""
@@ -30,11 +40,16 @@ class Scope:
     order_by: tuple[Column, ...] = ()
     partition_by: tuple[Column, ...] = ()
     last_match: bool = False
-    steps: list[dict[str, Column]] = field(default_factory=list)
+    steps: list[dict[str, Column] | _Change] = field(default_factory=list)
 
     def inner(self, more: Mapping[str, MCol] | None = None) -> Scope:
         return Scope({**self.names, **(more or {})}, self.macros, self.legacy, self.order_by, self.partition_by, self.last_match, self.steps)
 
+    def run(self, names: list[str], change: Callable[[DataFrame], DataFrame]) -> list[Column]:
+        """Stages work on the whole frame that adds the named columns."""
+        self.steps.append(_Change(names, change))
+        return [F.col(n) for n in names]
+
     def stage(self, *cols: Column) -> list[Column]:
         """Gives expressions that are used more than once a projection of their own, so that their code is planned once."""
         base = sum(map(len, self.steps))
@@ -50,7 +65,7 @@ class Scope:
 
     def applied(self, df: DataFrame) -> DataFrame:
         for step in self.steps:
-            df = df.withColumns(step)
+            df = step.change(df) if isinstance(step, _Change) else df.withColumns(step)
         return df
 
     def find(self, name: str) -> MCol:
@@ -244,22 +259,23 @@ def _make_aggregate(node: Node, scope: Scope) -> MCol:
     if where:
         hit = formula.compile_masked(formula.parse(where), scope.names, scope.legacy, scope.macros)
         ok = ok & F.coalesce(hit.value, F.lit(False))
-    parts = list(scope.partition_by)
+    parts = [F.col(c) if isinstance(c, str) else c for c in scope.partition_by]
     if node.get("groupField"):
         parts.append(scope.find(node.need("groupField")).value)
-    frame = (W.partitionBy(*parts) if parts else W.partitionBy()).orderBy(*scope.order_by).rowsBetween(W.unboundedPreceding, 0)
     x, kind = F.when(ok, col.value), node.need("function")
-    seen = F.count(x).over(frame)
-    if kind == "count":
-        return MCol(seen)
-    if kind == "sum":
-        return MCol(F.coalesce(F.sum(x.cast("double")).over(frame), F.lit(0.0)))
+    order = [F.col(c) if isinstance(c, str) else c for c in scope.order_by]
     if kind == "multiset":
+        frame = W.partitionBy(*parts).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return MCol(F.sort_array(F.collect_list(x).over(frame)))
-    if kind not in ("average", "min", "max"):
+    if kind not in ("count", "sum", "average", "min", "max"):
         raise ModelError(f"unknown aggregate {kind!r}")
-    value = {"average": F.avg, "min": F.min, "max": F.max}[kind](x).over(frame)
-    return MCol(value, F.when(seen > 0, VALID).otherwise(INVALID))
+    # By pieces of a group, so that neither all rows nor a large group meet in one task.
+    staged = scope.stage(x, *parts, *order)
+    base = sum(map(len, scope.steps))
+    names = [f"__s{base - len(staged) + k}" for k in range(len(staged))]
+    by, ordered, out = names[1 : 1 + len(parts)], names[1 + len(parts) :], f"__s{base}"
+    (value,) = scope.run([out], lambda df: windows.running(df, F.col(names[0]), kind, by, ordered, out))
+    return MCol(value) if kind in ("count", "sum") else MCol(value, F.when(value.isNotNull(), VALID).otherwise(INVALID))
 
 
 def _make_regex(node: Node, scope: Scope) -> MCol:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import special
 from quillon.mcol import INVALID, MISSING, VALID, MCol, source
+from quillon.operators import windows
 from quillon.plans.expressions import EXPRESSIONS, Scope, array_values, as_missing, child_expression, define_functions, derived_fields, expression, predicate
 from quillon.plans.ir import MODELS, PREDICATES, UNSCORED, ModelError, Node
 from quillon.plans.types import cast, mining_field, read_type, treats
@@ -94,10 +95,7 @@ def _baseline(model: Node, scope: Scope) -> Features:
         if size:
             value = F.aggregate(F.collect_list(step).over(w.rowsBetween(-(int(size) - 1), 0)), F.lit(0.0), lambda a, v: F.greatest(F.lit(reset), a + v))
         else:
-            up = w.rowsBetween(W.unboundedPreceding, 0)
-            # Windows cannot nest, so the running minimum goes over the sorted prefix as a fold of (sum, score).
-            value = None
-            return {"": MCol(F.lit(0.0)), "__cusum": (step, reset, up)}  # type: ignore[dict-item]
+            return {"": MCol(F.lit(0.0)), "__cusum": (step, reset, scope.partition_by, scope.order_by)}  # type: ignore[dict-item]
         return {"": MCol(value)}
     if statistic in ("GLR", "glr"):
         size = int(test.number("windowSize", 100))
@@ -669,12 +667,11 @@ def score(df: DataFrame, doc: Node, keep: tuple[str, ...] = (), features: tuple[
 
 
 def _score_cusum(df: DataFrame, made: dict, keep: tuple[str, ...]) -> DataFrame:
-    step, reset, frame = made["__cusum"]
-    rows = df.withColumn("__x", step)
-    rows = rows.withColumn("__c", F.coalesce(F.sum("__x").over(frame), F.lit(0.0)))
-    lowest = F.min(F.when(F.col("__x").isNotNull(), F.col("__c"))).over(frame)
-    value = F.col("__c") + F.coalesce(F.greatest(F.lit(0.0), F.lit(reset) - lowest), F.lit(0.0))
-    return rows.select(*keep, value.alias("score"))
+    step, reset, by, order = made["__cusum"]
+    named = {f"__{k}{i}": F.col(c) if isinstance(c, str) else c for k, cols in (("b", by), ("o", order)) for i, c in enumerate(cols)}
+    rows = df.withColumns({**named, "__step": step})
+    scored = windows.cusum(rows, F.col("__step"), [n for n in named if n.startswith("__b")], [n for n in named if n.startswith("__o")], "__score", reset)
+    return scored.select(*keep, F.col("__score").alias("score"))
 
 
 def transform(df: DataFrame, doc: Node, names: tuple[str, ...], keep: tuple[str, ...] = (), order_by: tuple[str, ...] = (), partition_by: tuple[str, ...] = (), legacy: bool = False, masks: bool = False, last_match: bool = False) -> DataFrame:
