@@ -4,6 +4,9 @@
 pieces; within a piece each key's rows are one segment. What a segment needs from those before it is folded from
 one summary row a segment. Only a key that crosses from one piece to the next has a segment that is not its
 first, so that what is sent to all tasks has fewer rows than there are pieces.
+
+Pieces cost a sampling pass and a written table. They are made where a count by key finds one of more than
+``HOT_ROWS`` rows; else each key is one segment, in one ordinary window. Results are the same.
 """
 
 from __future__ import annotations
@@ -19,6 +22,20 @@ from pyspark.sql import functions as F
 from quillon.session import materialise
 
 PIECE = "__p"
+#: Rows of one key that one task may sort.
+HOT_ROWS = 4_000_000
+#: The type of PIECE where each key is one segment.
+_WHOLE = "tinyint"
+
+
+def hot(df: DataFrame, by: Sequence[str]) -> bool:
+    """Whether a key holds more than HOT_ROWS rows: partial counts, one row back."""
+    most = df.groupBy(*by).count().agg(F.max("count").alias("n")).first()["n"] if by else df.count()
+    return (most or 0) > HOT_ROWS
+
+
+def _whole(rows: DataFrame) -> bool:
+    return dict(rows.dtypes)[PIECE] == _WHOLE
 
 
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], pieces: int | None) -> DataFrame:
@@ -27,7 +44,12 @@ def _ranged(df: DataFrame, by: Sequence[str], order: Sequence[str], pieces: int
 
 
 def placed(df: DataFrame, by: Sequence[str], order: Sequence[str], pieces: int | None = None) -> DataFrame:
-    """The rows with their piece. Written once: the bounds are drawn from the data and must not be drawn twice."""
+    """The rows with their piece. Written once: the bounds are drawn from the data and must not be drawn twice.
+
+    With ``pieces`` given they are always made.
+    """
+    if pieces is None and not hot(df, by):
+        return df.withColumn(PIECE, F.lit(0).cast(_WHOLE))
     return materialise(_ranged(df, by, order, pieces).withColumn(PIECE, F.spark_partition_id()), "pieces")
 
 
@@ -51,6 +73,8 @@ def with_carry(rows: DataFrame, by: Sequence[str], summary: dict[str, Column], c
     for n, c in carry(earlier(by)).items():
         found = found.withColumn(n, c)
     names = [n for n in found.columns if n not in (*by, PIECE, *summary)]
+    if _whole(rows):
+        return rows.withColumns({n: F.lit(None).cast(found.schema[n].dataType) for n in names})
     nth = F.row_number().over(W.partitionBy(*by).orderBy(PIECE))
     found = found.withColumn("__nth", nth).where("__nth > 1").select(*[F.col(b).alias(f"__k{i}") for i, b in enumerate(by)], F.col(PIECE).alias("__kp"), *names)
     on = F.col(PIECE) == F.col("__kp")
@@ -62,7 +86,7 @@ def with_carry(rows: DataFrame, by: Sequence[str], summary: dict[str, Column], c
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str, pieces: int | None = None) -> DataFrame:
     """Each row's place within its key, from 0."""
-    rows = placed(df, by, order, pieces).withColumn(out, F.row_number().over(W.partitionBy(*by, PIECE).orderBy(*order)) - 1)
+    rows = placed(df, by, order, pieces if by else pieces or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).withColumn(out, F.row_number().over(W.partitionBy(*by, PIECE).orderBy(*order)) - 1)
     rows = with_carry(rows, by, {"__n": F.count(F.lit(1))}, lambda w: {"__before": F.sum("__n").over(w)})
     return rows.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop("__before", PIECE)
 
@@ -74,6 +98,9 @@ def in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], before: in
     a function for the ordered window of a block, and the name of the row's place in its key.
     """
     block = max(block, before, after, 1)
+    if not hot(df, by):
+        rows = df.withColumns({"__pos": F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1, "__b": F.lit(0).cast("bigint"), "__core": F.lit(True)})
+        return run(rows, lambda: W.partitionBy(*by, "__b").orderBy(*order), "__pos").drop("__b", "__core", "__pos")
     rows = numbered(df, by, order, "__pos")
     here, offset = F.floor(F.col("__pos") / block), F.col("__pos") % block
     copies = [F.struct(here.alias("b"), F.lit(True).alias("core"))]
@@ -92,7 +119,9 @@ def scanned(df: DataFrame, by: Sequence[str], order: Sequence[str], schema: str,
     ``step`` takes the next rows of one segment and its state ({} at its start) and gives the new columns and state.
     ``schema`` names the new columns. Batches of a piece come in order, so no segment is held as a whole.
     """
-    ranged = _ranged(df, by, order, pieces).sortWithinPartitions(*by, *order).withColumn(PIECE, F.spark_partition_id())
+    split = not by or pieces is not None or hot(df, by)
+    ranged = _ranged(df, by, order, pieces) if split else df.repartition(*by)
+    ranged = ranged.sortWithinPartitions(*by, *order).withColumn(PIECE, F.spark_partition_id() if split else F.lit(0).cast(_WHOLE))
     keys = list(by)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +145,8 @@ def scanned(df: DataFrame, by: Sequence[str], order: Sequence[str], schema: str,
             yield pd.concat([frame.reset_index(drop=True), pd.concat(done, ignore_index=True)], axis=1)
 
     text = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema)
-    return materialise(ranged.mapInPandas(run, f"{text}, {schema}"), "scanned")
+    made = ranged.mapInPandas(run, f"{text}, {schema}")
+    return materialise(made, "scanned") if split else made
 
 
 def percentiles(df: DataFrame, by: Sequence[str], y: str, levels: Sequence[float], out: str = "levels") -> DataFrame:

@@ -12,6 +12,12 @@ from quillon.operators import blocks, tables, windows
 BY, ORDER = ("k",), ("i",)
 
 
+@pytest.fixture(autouse=True, params=[50, 10**9], ids=["pieces", "whole"])
+def hot_rows(request, monkeypatch):
+    """Both ways: a key of 50 rows is split, or none is."""
+    monkeypatch.setattr(blocks, "HOT_ROWS", request.param)
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
     r = random.Random(2)
