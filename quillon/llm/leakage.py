@@ -6,9 +6,10 @@ of ``window`` words; texts into windows of that length and of up to ``edits`` wo
 inserted and deleted words are met like replaced ones. Windows that share a key with a window of a passage
 are verified by their exact word edit distance.
 
-Two bitmaps cut the work without losing a pair: one of the passages' words (a window within e edits of a
-passage window has at most e foreign words) and one of the passages' LSH keys. Their size follows from the
-counted index, up to 16 MB each. They may let too much through, never too little.
+Three bitmaps cut the work without losing a pair: one of the passages' words (a window within e edits of a
+passage window has at most e foreign words), one of their runs of words (e edits leave e + 1 runs at most, so one
+run of a share of the words is untouched) and one of their LSH keys. Their size follows from the counted index, up
+to 16 MB each. They may let too much through, never too little.
 """
 
 from __future__ import annotations
@@ -108,6 +109,21 @@ def _windows(words: Words, window: int, good: np.ndarray | None = None) -> np.nd
     return np.flatnonzero(one if good is None else good[:n] & one)
 
 
+def _run_length(window: int, edits: int) -> int:
+    """Words of the longest run that ``edits`` edits of a window leave untouched, at least."""
+    return max(1, -(-(window - edits) // (edits + 1)))
+
+
+def _runs(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` words from each word on; those at the end, which lack words, are left out."""
+    n = max(0, len(hashes) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(length):
+        out = (out ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mix(out)
+
+
 def _item_index(items: DataFrame, walk: WalkHash, item_col: str, passage_col: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -127,23 +143,26 @@ def _item_index(items: DataFrame, walk: WalkHash, item_col: str, passage_col: st
     return chosen.mapInPandas(run, "item_id long, lsh_key long, item_words string, item_code string").distinct()
 
 
-def _bitmaps(index: DataFrame, rows: int) -> tuple[Bitmap, Bitmap]:
-    """Bitmaps of the index's words and keys, about 16 bits a row; each task sends two of that size."""
+def _bitmaps(index: DataFrame, rows: int, run_length: int) -> tuple[Bitmap, Bitmap, Bitmap]:
+    """Bitmaps of the index's words, runs and keys, about 16 bits a row; each task sends three of that size."""
     bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(16 * rows + 1))))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, keys = Bitmap(bits), Bitmap(bits)
+        words, parts, keys = (Bitmap(bits) for _ in range(3))
         for frame in frames:
-            words.add(Words(frame["item_words"].drop_duplicates().tolist()).hash)
+            read = Words(frame["item_words"].drop_duplicates().tolist())
+            words.add(read.hash)
+            runs = _runs(read.hash, run_length)
+            parts.add(runs[read.text[: len(runs)] == read.text[run_length - 1 :]])
             keys.add(frame["lsh_key"].to_numpy().view(np.uint64))
-        yield pd.DataFrame({"w": [words.data.tobytes()], "k": [keys.data.tobytes()]})
+        yield pd.DataFrame({"w": [words.data.tobytes()], "r": [parts.data.tobytes()], "k": [keys.data.tobytes()]})
 
-    words, keys = Bitmap(bits), Bitmap(bits)
+    words, parts, keys = (Bitmap(bits) for _ in range(3))
     tasks = min(64, max(8, rows // 1_000_000))
-    for row in index.select("item_words", "lsh_key").coalesce(tasks).mapInPandas(run, "w binary, k binary").toLocalIterator():
-        words.data |= np.frombuffer(row["w"], np.uint8)
-        keys.data |= np.frombuffer(row["k"], np.uint8)
-    return words, keys
+    for row in index.select("item_words", "lsh_key").coalesce(tasks).mapInPandas(run, "w binary, r binary, k binary").toLocalIterator():
+        for bitmap, column in ((words, "w"), (parts, "r"), (keys, "k")):
+            bitmap.data |= np.frombuffer(row[column], np.uint8)
+    return words, parts, keys
 
 
 def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, recall: float = 0.95, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", passage_col: str = "passage", broadcast_bytes: int = 64 << 20, salts: int = 16) -> DataFrame:
@@ -161,21 +180,29 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, r
     index = materialise(_item_index(items, walk, item_col, passage_col), "leak-index")
     # Text in the JVM's rows, keys and headers.
     size = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("item_words") + F.octet_length("item_code") + 64).alias("b")).first()
-    words_map, keys_map = _bitmaps(index, size["n"])
-    maps = spark.sparkContext.broadcast((words_map, keys_map))
+    run_length = _run_length(window, edits)
+    maps = spark.sparkContext.broadcast(_bitmaps(index, size["n"], run_length))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, wanted = maps.value
+        known, parts, wanted = maps.value
         for frame in frames:
             ids = frame["d"].to_numpy()
             for at, texts in chunks(frame["t"].tolist()):
                 words = Words(texts)
                 counts = np.r_[0, np.cumsum(known.has(words.hash))]
+                runs = np.zeros(len(words.hash) + 1, np.int64)
+                starts = _runs(words.hash, run_length)
+                np.cumsum(parts.has(starts), out=runs[1 : len(starts) + 1])
+                runs[len(starts) + 1 :] = runs[len(starts)]
                 for length in range(max(1, window - edits), window + edits + 1):
                     if len(words.hash) < length:
                         continue
                     # At most ``edits`` words of the longer side lack a partner.
-                    start = _windows(words, length, counts[length:] - counts[:-length] >= max(length, window) - edits)
+                    good = counts[length:] - counts[:-length] >= max(length, window) - edits
+                    # And a whole run of a passage lies inside.
+                    reach = length - run_length + 1
+                    good &= runs[reach : reach + len(good)] > runs[: len(good)]
+                    start = _windows(words, length, good)
                     if not len(start):
                         continue
                     hashes = words.hash[start[:, None] + np.arange(length)]
