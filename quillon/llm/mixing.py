@@ -16,7 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,11 +38,27 @@ def encoding(path: str):
     return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_SENT: set[tuple[str, str]] = set()
+
+
+def _sent(spark: SparkSession, path: str) -> None:
+    """Sends a file to the executors, once a context."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SENT:
+        spark.sparkContext.addFile(path)
+        _SENT.add(key)
+
+
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER, doc_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, tokens) of whole texts; a null text has none."""
+    """(doc_id, source, tokens) of whole texts; a null text has none.
+
+    The tokenizer's file, a path of the driver or any URI Spark can fetch, is sent to the executors.
+    """
+    _sent(docs.sparkSession, tokenizer)
+    name = os.path.basename(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(SparkFiles.get(name))
         for b in batches:
             n = [0 if t is None else len(enc.encode_ordinary(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
