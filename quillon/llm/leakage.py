@@ -221,15 +221,22 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = 13, edits: int = 0, r
     else:
         repeated = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         met = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(repeated, ["lsh_key", "salt"])
-    met = met.filter(F.levenshtein("doc_code", "item_code", edits) >= 0).select("doc_id", "item_id", "doc_words", "item_words")
+    met = met.filter(F.levenshtein("doc_code", "item_code", edits) >= 0)
     if edits == 0:
         sure = met.filter("doc_words = item_words").withColumn("edits", F.lit(0))
     else:
+        # Where different words have different letters throughout a pair, the letters' distance is that of the words.
+        distinct = lambda *parts: F.size(F.array_distinct(F.concat(*parts)))
+        letters = lambda c: F.array_remove(F.split(c, ""), "")
+        told = distinct(F.split("doc_words", " "), F.split("item_words", " ")) == distinct(letters("doc_code"), letters("item_code"))
 
         @F.pandas_udf("int")
         def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([0 if x == y else word_edits(x.split(), y.split(), edits) for x, y in zip(a, b, strict=True)], dtype="int32")
+            return pd.Series([-1 if x is None else word_edits(x.split(), y.split(), edits) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-        sure = met.distinct().withColumn("edits", distance("doc_words", "item_words")).filter(F.col("edits") <= edits)
+        pairs = met.select("doc_id", "item_id", "doc_words", "item_words", "doc_code", "item_code").distinct().withColumn("told", told)
+        # Not deterministic by name only, so that it is evaluated once a pair and not once more for the filter.
+        spelled = distance.asNondeterministic()(*[F.when(~F.col("told"), F.col(c)) for c in ("doc_words", "item_words")])
+        sure = pairs.withColumn("spelled", spelled).withColumn("edits", F.when(F.col("told"), F.levenshtein("doc_code", "item_code")).otherwise(F.col("spelled"))).filter(F.col("edits") <= edits)
     by_window = sure.groupBy("doc_id", "item_id", "item_words").agg(F.min("edits").alias("edits"))
     return by_window.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.count(F.lit(1)).alias("windows"))
