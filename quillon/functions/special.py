@@ -13,6 +13,11 @@ _erf = np.vectorize(math.erf, otypes=[float])
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
 
+def erf_values(x: np.ndarray) -> np.ndarray:
+    """erf of each value. A function of the module, so that workers find it by name: a vectorised one that ran once cannot be sent."""
+    return _erf(x)
+
+
 def erfinv(y: np.ndarray) -> np.ndarray:
     """Inverse error function: a rational start (Winitzki) and three Newton steps."""
     y = np.asarray(y, float)
@@ -59,7 +64,7 @@ def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
 def erf(col: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(_erf(x.to_numpy(float))) if len(x) else x.astype(float)
+        return pd.Series(erf_values(x.to_numpy(float))) if len(x) else x.astype(float)
 
     return F.when(col.isNotNull(), run(F.coalesce(col.cast("double"), F.lit(0.0))))
 
