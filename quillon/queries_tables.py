@@ -343,11 +343,16 @@ def join_star(spark: SparkSession, d: str) -> DataFrame:
 # --- plot data ------------------------------------------------------------------------------------------------------------------
 
 
-@query("plot_histogram")
+@query(
+    "plot_histogram",
+    "WITH r AS (SELECT CAST(min(value) AS DOUBLE) AS a, CAST(max(value) AS DOUBLE) AS b, count(value) AS n, quantile_cont(CAST(value AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(value AS DOUBLE), 0.75) AS q3 FROM events), l AS (SELECT a - 0.2 * (b - a) / 2 AS low, b + 0.2 * (b - a) / 2 AS high, 2 * (q3 - q1) / pow(n, 1.0 / 3) AS width FROM r), k AS (SELECT low, high, greatest(1, CAST(trunc((high - low) / width) AS BIGINT)) AS bins FROM l), "
+    "c AS (SELECT least(CAST(floor((value - low) / ((high - low) / bins)) AS BIGINT), bins - 1) AS bin, count(*) * 1.0 AS w FROM events, k WHERE value BETWEEN low AND high GROUP BY 1) "
+    "SELECT CAST(i.bin AS INTEGER) AS bin, round(low + i.bin * ((high - low) / bins), 6) AS low, round(low + (i.bin + 1) * ((high - low) / bins), 6) AS high, CAST(coalesce(w, 0) AS DOUBLE) AS weight FROM (SELECT unnest(range(0, bins)) AS bin FROM k) i CROSS JOIN k LEFT JOIN c ON c.bin = i.bin",
+)
 def plot_histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d)
     low, high, bins = tables.freedman_diaconis(rows, "value")
-    return tables.histogram(rows, F.col("value"), bins, low, high)
+    return tables.histogram(rows, F.col("value"), bins, low, high).withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
 for _n, _sql in {"count": "count(*)", "sum": "sum(l_extendedprice)", "mean": "avg(l_extendedprice)"}.items():

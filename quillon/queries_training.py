@@ -55,10 +55,14 @@ def train_bayes_counts(spark: SparkSession, d: str) -> DataFrame:
     return trainers.bayes_counts(_lines(spark, d), "l_returnflag", ("l_linestatus",))
 
 
-@query("train_bayes_score")
+@query(
+    "train_bayes_score",
+    "WITH p AS (SELECT l_linestatus AS v, l_returnflag AS t, count(*) * 1.0 AS n FROM lineitem GROUP BY ALL), t AS (SELECT t, sum(n) AS n FROM p GROUP BY 1), v AS (SELECT DISTINCT v FROM p), l AS (SELECT v.v, t.t, CAST(coalesce(p.n, t.n * 0.001) AS DOUBLE) AS l FROM v CROSS JOIN t LEFT JOIN p ON p.v = v.v AND p.t = t.t), "
+    f"s AS (SELECT v, arg_max(t, l) AS score, max(CASE WHEN t = 'R' THEN l END) / sum(l) AS probability_R FROM l GROUP BY 1) SELECT {_KEY}, score, round(probability_R, 9) AS \"probability_R\" FROM lineitem JOIN s ON l_linestatus = v",
+)
 def train_bayes_score(spark: SparkSession, d: str) -> DataFrame:
     doc = trainers.bayes_document(_lines(spark, d), "l_returnflag", ("l_linestatus",))
-    return models.score(_lines(spark, d), doc, _LINE_KEY, ("probability:R",))
+    return models.score(_lines(spark, d), doc, _LINE_KEY, ("probability:R",)).withColumn("probability_R", F.round("probability_R", 9))
 
 
 _START = ((10.0, 0.02), (25.0, 0.05), (40.0, 0.08))
