@@ -1,7 +1,7 @@
-"""Personal information inside free text: found by the character tagger, replaced by typed placeholders.
+"""Personal information inside free text: found by the tagger, replaced by typed placeholders.
 
-One narrow stage: each text's candidate windows are decoded in large batches, overlapping windows are
-reconciled over the whole text, and a plain check of each kind follows. Nothing is shuffled.
+One narrow stage: windows over the whole of each text are decoded in large batches, overlapping windows are
+reconciled over the text, and a plain check of each kind follows. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm import tagger
 from quillon.llm.pii_train import WEIGHTS
-from quillon.llm.pii_windows import BIBLIOGRAPHY, PAGES, group, in_entry, reconcile, windows
+from quillon.llm.pii_tokens import Types
+from quillon.llm.pii_windows import BIBLIOGRAPHY, PAGES, Windows, cut, group, in_entry, reconcile
 from quillon.llm.words import chunks
 from quillon.session import spread
 
-#: Windows decoded at once: their states stay inside a core's cache.
-BATCH = 256
+#: Windows decoded at once: what a step works on stays inside a core's cache.
+BATCH = 512
 SPANS = "doc_id long, line_no int, start_at int, end_at int, pii_type string, found string"
 _SKIP = re.compile(r"(?:\s|%|~|\\[,; ]|[({\[,;:]|\}(?=.*[A-Z@]))+")
 
@@ -46,22 +47,25 @@ def _one_thread() -> None:
 
 
 @lru_cache(maxsize=1)
-def weights() -> dict[str, np.ndarray]:
+def weights() -> tuple[dict[str, np.ndarray], Types]:
+    """The network, and the types of tokens met so far."""
     _one_thread()
     # By way of the package, which may lie in an archive.
     with np.load(io.BytesIO(pkgutil.get_data("quillon.llm", WEIGHTS.name))) as f:
-        return {k: f[k].astype(np.float32) for k in f.files}
+        return {k: f[k].astype(np.float32) for k in f.files if k != "words"}, Types(f["words"])
 
 
-def tag_windows(symbols: np.ndarray, places: list[tuple[int, int, int]]) -> np.ndarray:
+def tag_windows(w: Windows) -> np.ndarray:
     """Tags (N, LENGTH) of windows; batches hold windows of like length."""
-    out = np.zeros(symbols.shape, np.int8)
-    lengths = np.array([b - a for _, a, b in places])
+    p, types = weights()
+    p, _ = tagger.tables(p, types.features(w.types))
+    out = np.zeros(w.symbols.shape, np.int8)
+    lengths = np.array([b - a for _, a, b in w.places])
     order = np.argsort(lengths, kind="stable")
     for i in range(0, len(order), BATCH):
         rows = order[i : i + BATCH]
         most = int(lengths[rows[-1]])
-        out[rows, :most] = tagger.decode(weights(), np.ascontiguousarray(symbols[rows, :most].T)).T
+        out[rows, :most] = tagger.decode(p, np.ascontiguousarray(w.symbols[rows, :most].T)).T
     return out
 
 
@@ -87,11 +91,13 @@ def _whole_group(text: str, a: int, b: int) -> int:
 
 def spans(texts: list[str]) -> list[tuple[int, int, int, str]]:
     """(text, start, end, kind) of all texts, in order."""
-    symbols, places = windows(texts)
-    if not places:
+    _, types = weights()
+    types.trim()
+    read = cut(texts, types)
+    if not read.places:
         return []
     out, listed = [], {}
-    for k, a, b, kind in reconcile(tag_windows(symbols, places), places):
+    for k, a, b, kind in reconcile(tag_windows(read), read):
         text = texts[k]
         lead = _SKIP.match(text, a, b) if kind not in ("phone", "email") else re.compile(r"(?:\s|%|~)+").match(text, a, b)
         a = lead.end() if lead else a

@@ -1,52 +1,23 @@
-"""Candidate windows of a text for the tagger, and the reconciliation of overlapping ones.
+"""Windows over the whole of every text for the tagger, and the reconciliation of overlapping ones.
 
-Every character of every text is looked at by the triggers, which are loose: anything that may be part of a
-mailbox, a longer number, a house number or two neighbouring capitalised words. What they find is widened
-and cut into windows that overlap; where windows overlap, each character takes the tag of the window in
-which it lies farthest from an edge.
+Every token of every text lies in a window. Windows overlap, and each token takes the tag of the window in
+which it lies farther from an edge.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-
-from quillon.llm.pii_spans import GAP
-from quillon.llm.tagger import KINDS, PAD, encode
-
-#: A mailbox reaches far on both sides of its at sign, other kinds little.
-LENGTH, OVERLAP, AROUND, AROUND_AT = 160, 40, 24, 60
-
-_W = r"[ \t~\r\n%]"
-_ACCENT = r"\{?\\(?:[\"'`^~=.]\{?\\?[A-Za-z]\}?|[cvuHkrdbt]\{[A-Za-z]\}|(?:ss|[oOlLij]|ae|AE|oe|OE|aa|AA)(?:\{\}|\b))\}?"
-_PARTICLES = rf"(?:(?:van|von|vom|zu|zur|de|del|della|der|den|di|da|do|dos|du|la|le|el|al|bin|ibn|ter|ten|y){GAP})*"
-_UP = r"(?:\p{Lu}|\p{Lt}|\{?\\(?:[\"'`^~=.]\{?[A-Z]\}?|[cvuHkrdbt]\{[A-Z]\}|(?:AE|OE|AA|[OL])(?:\{\}|\b ?))\}?)"
-_LETTER = rf"(?:[\p{{L}}\p{{M}}'’-]|{_ACCENT})"
-_BETWEEN = rf"(?:{GAP}|[\x{{a0}}\x{{2009}}\x{{202f}}])"
-#: In the syntax of RE2, which marks all texts of a batch in one pass and knows no lookaround.
-_PLAIN = (
-    r"@|[\[({](?:at|AT|At)[\])}]"
-    rf"|\b(?:at|AT){_W}+[A-Za-z][\w-]*(?:\.[A-Za-z]|{_W}*[\[(](?:dot|DOT)|{_W}+(?:dot|DOT)\b)"
-    # Seven digits or more with little in between, fewer behind a label, and codes of capitals and digits.
-    r"|\+?\(?\d(?:(?:[ ~().\-/%]|\\[, ]|\r?\n){0,5}\d){6,}"
-    rf"|(?:\b(?:[Ii][Dd]|[Nn]o\.|[Nn]umber|[Rr]ecord|N[or]\.?|n°)|[A-Z])[:#]?{_W}*[A-Z]{{0,4}}[ -]?\d(?:[ .\-]?\d){{3,5}}"
-    rf"|[A-Z]{{2}}{_W}?\d\d{_W}|\b[A-Z]{{1,6}}[ ~-]?\d[A-Z\d]{{4,}}"
-    # House numbers and post codes.
-    rf"|\d{{1,5}}[a-z]?,?{_W}+(?:bis,{_W}+)?(?:[\p{{Ll}}.]{{2,9}}{_W}+(?:l'|l’)?)*\p{{Lu}}\p{{Ll}}{{2,}}|[\w.]{_W}\d{{1,5}}[a-z]?,{_W}+(?:[A-Z]{{1,2}}-)?\d{{4,5}}|\d{{4,5}}{_W}+\p{{Lu}}\p{{Ll}}|Box{_W}\d"
-)
-#: Neighbouring capitalised words, initials, or a word, a comma and a capital; a word may begin with or hold TeX accents.
-_NAMES = (
-    rf"(?:{_UP}\.|{_UP}{_LETTER}+)(?:{_BETWEEN}{_PARTICLES}|{_BETWEEN}?(?:{_UP}\.{_BETWEEN}?)+{_PARTICLES}){_UP}(?:{_LETTER}|\.)"
-    rf"|\p{{Lu}}\.\p{{Lu}}"
-    rf"|(?:\p{{L}}|\}}),{_BETWEEN}{_UP}(?:{_LETTER}+|\.)"
-)
-#: One pass each: together they outgrow the automaton of RE2, which then takes twenty times as long.
-TRIGGERS = (_PLAIN, _NAMES)
-_BLANKED = str.maketrans({"\x01": " ", "\x02": " "})
+
+from quillon.llm.pii_tokens import Types, tokens
+from quillon.llm.tagger import KINDS, PAD
+
+#: Tokens of a window, and those it shares with the next one.
+LENGTH, OVERLAP = 512, 32
+
 BIBLIOGRAPHY = re.compile(r"\\begin\{thebibliography\}(.*?)(?:\\end\{thebibliography\}|\Z)", re.S)
 
 
@@ -59,24 +30,6 @@ def in_entry(text: str, at: int, lists: list[tuple[int, int]]) -> bool:
     return any(x <= at < y for x, y in lists) and not text[text.rfind("\n", 0, at) + 1 : at].lstrip().startswith("%")
 
 
-def marks(texts: list[str]) -> list[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
-    """Trigger spans of each text: the plain ones and those of names."""
-    clean = pa.array([t.translate(_BLANKED) if "\x01" in t or "\x02" in t else t for t in texts], pa.large_string())
-    out = []
-    for trigger in TRIGGERS:
-        spans = []
-        for marked in pc.replace_substring_regex(clean, trigger, "\x01\\0\x02").to_pylist():
-            found, at, k = [], marked.find("\x01"), 0
-            while at >= 0:
-                end = marked.find("\x02", at)
-                found.append((at - 2 * k, end - 2 * k - 1))
-                k += 1
-                at = marked.find("\x01", end)
-            spans.append(found)
-        out.append(spans)
-    return list(zip(*out, strict=True))
-
-
 #: What a group of mailboxes may hold: words and at least one separator.
 _LISTED, _SEPARATOR = re.compile(r"[\w.,;|/+\-'’~%\s\\{}]+"), re.compile(r"[,;|/\s]")
 
@@ -106,78 +59,78 @@ def group(text: str, a: int) -> int:
     return start if start >= 0 and _LISTED.fullmatch(inner) and _SEPARATOR.search(inner) else a
 
 
-def spots(text: str, plain: list[tuple[int, int]], names: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Trigger spans, merged after widening. In entries of bibliographies neither names nor pages are cases."""
-    lists = [m.span(1) for m in BIBLIOGRAPHY.finditer(text)]
-    if lists:
-        names = [h for h in names if not in_entry(text, h[0], lists)]
-        plain = [h for h in plain if not (PAGES.fullmatch(text, *h) and in_entry(text, h[0], lists))]
-    found = sorted(plain + names)
-    out: list[tuple[int, int]] = []
-    for a, b in found:
-        first = text[a]
-        more = AROUND_AT if first in "@[({a" else AROUND
-        if first in "@[({a":
-            a = group(text, a)
-        a, b = max(0, a - more), min(len(text), b + more)
-        while out and a <= out[-1][1]:
-            x, y = out.pop()
-            a, b = min(a, x), max(b, y)
-        out.append((a, b))
-    return out
-
-
 def cuts(a: int, b: int) -> Iterable[tuple[int, int]]:
-    """Windows of at most LENGTH over (a, b), overlapping by OVERLAP at least."""
+    """Windows of at most LENGTH over (a, b), of like length, overlapping by OVERLAP at least."""
     if b - a <= LENGTH:
         return [(a, b)]
     n = -(-(b - a - OVERLAP) // (LENGTH - OVERLAP))
-    step = (b - a - LENGTH) / (n - 1)
-    return [(s := a + round(i * step), s + LENGTH) for i in range(n)]
+    size = -(-(b - a + (n - 1) * OVERLAP) // n)
+    step = (b - a - size) / (n - 1)
+    return [(s := a + int(i * step), b if i == n - 1 else s + size) for i in range(n)]
+
+
+class Windows(NamedTuple):
+    """Tokens of some texts one behind the other, and windows over all of them."""
+
+    #: Places of the tokens in their texts, and the first token of each text (and the end).
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    #: The distinct types, the most frequent first, and which of them each token is, from 1.
+    types: np.ndarray
+    numbers: np.ndarray
+    #: (N, LENGTH) numbers of the tokens of each window, padded at the end.
+    symbols: np.ndarray
+    #: (text, first token, end) of each window.
+    places: list[tuple[int, int, int]]
+
+
+def cut(texts: list[str], types: Types) -> Windows:
+    read = [tokens(text, types) for text in texts]
+    ids = np.concatenate([np.zeros(0, np.int32), *read])
+    first = np.cumsum([0, *map(len, read)])
+    counts = np.bincount(ids, minlength=1)
+    used = np.flatnonzero(counts)
+    used = used[np.argsort(-counts[used], kind="stable")]
+    number = np.zeros(len(counts), np.int32)
+    number[used] = np.arange(1, len(used) + 1)
+    numbers = number[ids]
+    length, gap = np.concatenate([np.zeros((1, 2), np.int64), types.sizes_of(used)])[numbers].T
+    ends = np.cumsum(length)
+    ends -= np.repeat(np.r_[0, ends][first[:-1]], np.diff(first))
+    starts = ends - length + gap
+    places = [(k, s, e) for k in range(len(texts)) if first[k] < first[k + 1] for s, e in cuts(int(first[k]), int(first[k + 1]))]
+    symbols = np.full((len(places), LENGTH), PAD, np.int32)
+    for row, (_, s, e) in zip(symbols, places, strict=True):
+        row[: e - s] = numbers[s:e]
+    return Windows(starts, ends, first, used, numbers, symbols, places)
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(N, LENGTH) symbols, padded at the end, and (text, start, end) of each."""
-    places: list[tuple[int, int, int]] = []
-    rows: list[np.ndarray] = []
-    for k, (text, (plain, names)) in enumerate(zip(texts, marks(texts), strict=True)):
-        found = spots(text, plain, names)
-        if not found:
-            continue
-        symbols = encode(text)
-        for a, b in found:
-            for s, e in cuts(a, b):
-                places.append((k, s, e))
-                rows.append(symbols[s:e])
-    out = np.full((len(rows), LENGTH), PAD, np.uint8)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
-    return out, places
-
-
-def reconcile(path: np.ndarray, places: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
+    """(N, LENGTH) symbols, padded at the end, and (text, start, end) of each in characters."""
+    w = cut(texts, Types(np.zeros(0, np.uint32)))
+    return w.symbols, [(k, int(w.starts[s]), int(w.ends[e - 1])) for k, s, e in w.places]
+
+
+def reconcile(path: np.ndarray, w: Windows) -> list[tuple[int, int, int, str]]:
     """(text, start, end, kind) from the tags (N, LENGTH) of windows in order of place."""
-    spans: list[tuple[int, int, int, str]] = []
-    i = 0
-    while i < len(places):
-        j = i + 1
-        while j < len(places) and places[j][0] == places[i][0] and places[j][1] < places[j - 1][2]:
-            j += 1
-        k, a, b = places[i][0], places[i][1], places[j - 1][2]
-        if path[i:j].any():
-            tags, depth = np.zeros(b - a, np.int8), np.full(b - a, -1)
-            for w in range(i, j):
-                s, e = places[w][1] - a, places[w][2] - a
-                # An end of the whole stretch is no edge to keep away from.
-                left = np.arange(e - s) + (LENGTH if s == 0 else 0)
-                right = np.arange(e - s)[::-1] + (LENGTH if e == b - a else 0)
-                mine = np.minimum(left, right)
-                better = mine > depth[s:e]
-                tags[s:e][better] = path[w, : e - s][better]
-                depth[s:e][better] = mine[better]
-            edge = np.flatnonzero(np.diff(np.r_[0, tags, 0]))
-            for s, e in zip(edge[:-1], edge[1:], strict=True):
-                if tags[s]:
-                    spans.append((k, a + int(s), a + int(e), KINDS[tags[s] - 1]))
-        i = j
-    return spans
+    tags = np.zeros(len(w.starts), np.int8)
+    at = 0
+    for i, (k, s, e) in enumerate(w.places):
+        last = i + 1 == len(w.places) or w.places[i + 1][0] != k
+        # Of what two windows share each gives the half that is nearer to its middle.
+        upto = e if last else (w.places[i + 1][1] + e) // 2
+        tags[at:upto] = path[i, at - s : upto - s]
+        at = upto
+    kinds = (tags + 1) // 2
+    before = np.r_[0, kinds[:-1]]
+    begins = kinds != before
+    begins |= (tags > 0) & (tags % 2 == 1)
+    begins[w.first[w.first < len(tags)]] = True
+    edges = np.flatnonzero(begins)
+    text = np.searchsorted(w.first, edges, side="right") - 1
+    return [
+        (int(k), int(w.starts[a]), int(w.ends[b - 1]), KINDS[kinds[a] - 1])
+        for k, a, b in zip(text.tolist(), edges.tolist(), [*edges[1:].tolist(), len(tags)], strict=True)
+        if kinds[a]
+    ]

@@ -1,55 +1,32 @@
-"""A character-level bidirectional LSTM with CRF transitions, in numpy.
+"""A bidirectional LSTM over tokens with CRF transitions, in numpy.
 
-Tags are 0 (outside) and one for each kind of personal information. The forward pass and the decoder work
-on many windows at once; training is full back-propagation through both directions and the CRF.
+Tags are 0 (outside) and two for each kind of personal information: its first token and the further ones. The
+forward pass and the decoder work on many windows at once; training is full back-propagation through the
+embeddings, both directions and the CRF.
 """
 
 from __future__ import annotations
 
 import ctypes
 import multiprocessing
-import unicodedata
 
 import numpy as np
 
+from quillon.llm import pii_tokens
+
 KINDS = ("email", "phone", "id_number", "address", "name")
-TAGS = len(KINDS) + 1
+TAGS = 2 * len(KINDS) + 1
 PAD = 0
-_FIRST, _LAST = 32, 126
-LETTER_SMALL, LETTER_LARGE, LINE_END, OTHER = _LAST - _FIRST + 2, _LAST - _FIRST + 3, _LAST - _FIRST + 4, _LAST - _FIRST + 5
-SYMBOLS = _LAST - _FIRST + 6
-
-
-_DRAWN = dict(zip("ŁłĐđĦħŦŧı", "LlDdHhTti", strict=True))
-
-
-def _classes() -> np.ndarray:
-    table = np.full(0x10000, OTHER, np.uint8)
-    table[_FIRST : _LAST + 1] = np.arange(1, _LAST - _FIRST + 2)
-    table[[9, 10, 13]] = LINE_END
-    table[0xA0] = 1
-    for k in range(0xAA, 0x600):
-        c = chr(k)
-        if c.isalpha():
-            table[k] = LETTER_LARGE if c.isupper() else LETTER_SMALL
-    # Latin letters beyond U+00FF are read as the plain letter they are drawn from: training holds hardly any of them.
-    for k in range(0x100, 0x250):
-        plain = _DRAWN.get(chr(k)) or unicodedata.normalize("NFD", chr(k))[0]
-        if plain.isascii() and plain.isalpha():
-            table[k] = ord(plain) - _FIRST + 1
-    return table
-
-
-_CLASS = _classes()
-
-
-def encode(text: str) -> np.ndarray:
-    """Symbols of a text, one for each code point."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    return _CLASS[np.minimum(points, 0xFFFF)]
+#: Columns of the embeddings; rows of the tables of a network that reads numbers as they are.
+WIDTH, SYMBOLS = 32, 101
+#: Share of the distinct words of a batch that training hides, so that words never seen are judged by their shape.
+HIDDEN_WORDS = 0.25
+#: A score that no path with a further token of another kind gets over.
+_NEVER = -60.0
 
 
 def start(hidden: int, seed: int = 3) -> dict[str, np.ndarray]:
+    """A network that reads numbers below SYMBOLS by a table of each direction."""
     rng = np.random.default_rng(seed)
     p: dict[str, np.ndarray] = {}
     for d in "fb":
@@ -62,6 +39,30 @@ def start(hidden: int, seed: int = 3) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in p.items()}
 
 
+def start_tokens(hidden: int, vocabulary: int, seed: int = 3) -> dict[str, np.ndarray]:
+    """A network that reads tokens by the sum of their features' embeddings. A further token follows its own kind only."""
+    rng = np.random.default_rng(seed)
+    p = start(hidden, seed)
+    for d in "fb":
+        del p[f"x{d}"]
+        p[f"m{d}"] = rng.normal(0, 0.5 / np.sqrt(WIDTH), (WIDTH, 4 * hidden)).astype(np.float32)
+    p["w"] = rng.normal(0, 0.3, (pii_tokens.rows(vocabulary), WIDTH)).astype(np.float32)
+    p["w"][0] = 0
+    for k in range(len(KINDS)):
+        others = [x for x in range(TAGS) if x not in (2 * k + 1, 2 * k + 2)]
+        p["t"][others, 2 * k + 2] = _NEVER
+        p["t"][2 * k + 1, 2 * k + 2] = 1.0
+    return p
+
+
+def tables(p: dict[str, np.ndarray], features: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The network with tables for the tokens of these features, numbered from 1, and the tokens' embeddings."""
+    read = np.zeros((len(features) + 1, p["w"].shape[1]), np.float32)
+    for column in features.T:
+        read[1:] += p["w"][column]
+    return p | {"xf": read @ p["mf"], "xb": read @ p["mb"]}, read
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -98,13 +99,14 @@ def _run(p: dict[str, np.ndarray], symbols: np.ndarray, d: str, keep: bool) -> t
 
 
 def _states(p: dict[str, np.ndarray], symbols: np.ndarray, d: str) -> np.ndarray:
-    """As _run, for reading only: all products go into buffers that are kept, and the halves of the sigmoid into the weights."""
+    """Twice the states of _run, for reading only: all products go into buffers that are kept, and the halves of the sigmoid into the weights."""
     t_len, n = symbols.shape
     hidden = p[f"u{d}"].shape[0]
     half = np.r_[np.full(3 * hidden, 0.5), np.ones(hidden)].astype(np.float32)
-    table, u = (p[f"x{d}"] + p[f"b{d}"]) * half, p[f"u{d}"] * half
+    table, u = (p[f"x{d}"] + p[f"b{d}"]) * half, p[f"u{d}"] * (0.5 * half)
     g, read, part = np.empty((n, 4 * hidden), np.float32), np.empty((n, 4 * hidden), np.float32), np.empty((n, hidden), np.float32)
-    gates, i, f, o, z = g[:, : 3 * hidden], g[:, :hidden], g[:, hidden : 2 * hidden], g[:, 2 * hidden : 3 * hidden], g[:, 3 * hidden :]
+    # A gate is half of one more than these.
+    i, f, o, z = g[:, :hidden], g[:, hidden : 2 * hidden], g[:, 2 * hidden : 3 * hidden], g[:, 3 * hidden :]
     out, h, c = np.empty((t_len, n, hidden), np.float32), np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
     live = symbols != PAD
     whole = live.all(axis=1)
@@ -113,18 +115,18 @@ def _states(p: dict[str, np.ndarray], symbols: np.ndarray, d: str) -> np.ndarray
         np.take(table, symbols[t], axis=0, out=read, mode="clip")
         g += read
         np.tanh(g, out=g)
-        gates *= 0.5
-        gates += 0.5
-        c *= f
+        np.multiply(f, c, out=part)
+        c += part
         np.multiply(i, z, out=part)
         c += part
+        c += z
+        c *= 0.5
         if not whole[t]:
             c *= live[t][:, None]
         h = out[t]
         np.tanh(c, out=part)
         np.multiply(o, part, out=h)
-        if not whole[t]:
-            h *= live[t][:, None]
+        h += part
     return out
 
 
@@ -132,25 +134,30 @@ def emissions(p: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
     """(T, N, TAGS) scores of symbols (T, N)."""
     f, b = _states(p, symbols, "f"), _states(p, symbols, "b")
     hidden = f.shape[2]
-    return f @ p["e"][:hidden] + b @ p["e"][hidden:] + p["eb"]
+    scores = (f.reshape(-1, hidden) @ (0.5 * p["e"][:hidden])).reshape(*symbols.shape, -1)
+    scores += (b.reshape(-1, hidden) @ (0.5 * p["e"][hidden:])).reshape(*symbols.shape, -1)
+    scores += p["eb"]
+    return scores
 
 
 def decode(p: dict[str, np.ndarray], symbols: np.ndarray) -> np.ndarray:
     """Best tag paths (T, N) by Viterbi."""
-    e = emissions(p, symbols)
-    t_len, n, k = e.shape
-    back = np.empty((t_len, n, k), np.int8)
-    score = e[0]
-    steps = p["t"].T.copy()
+    e = np.ascontiguousarray(emissions(p, symbols).transpose(0, 2, 1))
+    t_len, k, n = e.shape
+    steps = np.ascontiguousarray(p["t"])
+    # e becomes the score of the best path that ends in each tag; the way back looks again which tag it came by.
+    reach, best = np.empty((k, k, n), np.float32), np.empty((k, n), np.float32)
     for t in range(1, t_len):
-        reach = score[:, None, :] + steps
-        back[t] = reach.argmax(axis=2)
-        score = reach.max(axis=2) + e[t]
+        np.add(e[t - 1][:, None], steps[:, :, None], out=reach)
+        np.max(reach, axis=0, out=best)
+        e[t] += best
     path = np.empty((t_len, n), np.int8)
-    path[-1] = score.argmax(axis=1)
-    rows = np.arange(n)
+    path[-1] = e[-1].argmax(axis=0)
+    into = np.empty((k, n), np.float32)
     for t in range(t_len - 1, 0, -1):
-        path[t - 1] = back[t, rows, path[t]]
+        np.take(steps, path[t], axis=1, out=into, mode="clip")
+        into += e[t - 1]
+        path[t - 1] = into.argmax(axis=0)
     return path
 
 
@@ -212,9 +219,31 @@ def loss_and_gradient(p: dict[str, np.ndarray], symbols: np.ndarray, tags: np.nd
     return float((z - gold).mean()), grad
 
 
-def train(p: dict[str, np.ndarray], windows: np.ndarray, tags: np.ndarray, steps: int, batch: int = 128, rate: float = 0.004, seed: int = 5, say=None, workers: int = 1) -> dict[str, np.ndarray]:
+def token_loss(p: dict[str, np.ndarray], features: np.ndarray, types: np.ndarray, tags: np.ndarray, rng: np.random.Generator) -> tuple[float, dict[str, np.ndarray]]:
+    """As loss_and_gradient for windows of tokens. features: of each type from 1; types, tags: (T, N)."""
+    used, symbols = np.unique(types, return_inverse=True)
+    own = features[used]
+    if used[0] != PAD:
+        symbols, own = symbols + 1, np.concatenate([features[:1], own])
+    own = own[1:].copy()
+    own[rng.random(len(own)) < HIDDEN_WORDS, -1] = 0
+    q, read = tables(p, own)
+    loss, grad = loss_and_gradient(q, symbols.reshape(types.shape), tags)
+    back = np.zeros_like(read)
+    for d in "fb":
+        x = grad.pop(f"x{d}")
+        grad[f"m{d}"] = read.T @ x
+        back += x @ p[f"m{d}"].T
+    grad["w"] = np.zeros_like(p["w"])
+    for column in own.T:
+        np.add.at(grad["w"], column, back[1:])
+    grad["w"][0] = 0
+    return loss, grad
+
+
+def train(p: dict[str, np.ndarray], features: np.ndarray, windows: np.ndarray, tags: np.ndarray, steps: int, batch: int = 64, rate: float = 0.006, seed: int = 5, say=None, workers: int = 1) -> dict[str, np.ndarray]:
     """Adam with a linearly falling rate. windows, tags: (N, T). A step takes ``batch`` windows from each of ``workers`` processes."""
-    with _Team(windows, tags, batch, seed, workers) as team:
+    with _Team(features, windows, tags, batch, seed, workers) as team:
         m = {k: np.zeros_like(v) for k, v in p.items()}
         v = {k: np.zeros_like(x) for k, x in p.items()}
         average = 0.0
@@ -227,7 +256,7 @@ def train(p: dict[str, np.ndarray], windows: np.ndarray, tags: np.ndarray, steps
                 g = grad[k].astype(np.float32) * scale
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
-                p[k] = (p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                p[k] = (p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
             average = loss if step == 1 else 0.98 * average + 0.02 * loss
             if say and step % 100 == 0:
                 say(step, average, p)
@@ -247,9 +276,9 @@ def keep_memory() -> None:
 class _Team:
     """Processes that each take the gradient over windows of their own; one worker stays in this process."""
 
-    def __init__(self, windows: np.ndarray, tags: np.ndarray, batch: int, seed: int, workers: int) -> None:
+    def __init__(self, features: np.ndarray, windows: np.ndarray, tags: np.ndarray, batch: int, seed: int, workers: int) -> None:
         keep_memory()
-        self.work = (windows, tags, batch)
+        self.work = (features, windows, tags, batch)
         self.rng = np.random.default_rng(seed)
         self.pipes, self.others = [], []
         context = multiprocessing.get_context("fork")
@@ -261,10 +290,10 @@ class _Team:
             self.others.append(other)
 
     def _part(self, p: dict[str, np.ndarray], rng: np.random.Generator) -> tuple[float, dict[str, np.ndarray]]:
-        windows, tags, batch = self.work
+        features, windows, tags, batch = self.work
         pick = rng.integers(0, len(windows), batch)
         longest = int((windows[pick] != PAD).sum(axis=1).max())
-        return loss_and_gradient(p, windows[pick, :longest].T.copy(), tags[pick, :longest].T.copy())
+        return token_loss(p, features, windows[pick, :longest].T.copy(), tags[pick, :longest].T.copy(), rng)
 
     def _serve(self, pipe, rng: np.random.Generator) -> None:
         while (p := pipe.recv()) is not None:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import leakage, mixing, pii, pii_made, pii_windows, tagger
+from quillon.llm import leakage, mixing, pii, pii_made, pii_tokens, pii_windows, tagger
 from quillon.llm.words import Words
 from tests.llm import heldout
 
@@ -286,3 +286,39 @@ def test_bibliographies_hold_all_kinds_but_names():
         for end in ("\\end{thebibliography}", "The text goes on."):
             text = entry.replace("%s", item + " for the data.") + end
             assert [k for *_, k in pii.spans([text])] == [kind], (item, end)
+
+
+def test_the_tagger_reads_every_character():
+    texts = ["the lattice is slow and $x_{i}^{2} = 3.5$ follows \\emph{the graph}, \u65e5\u672c \u00abd\u00e9j\u00e0\u00bb \\\\ (see 4).\n" * 300, "", "plain words only", " \n", "x" * 5000]
+    _, places = pii_windows.windows(texts)
+    for k, text in enumerate(texts):
+        seen = np.zeros(len(text), bool)
+        for _, a, b in (p for p in places if p[0] == k):
+            seen[a:b] = True
+        assert all(seen[i] for i, c in enumerate(text) if not c.isspace())
+    assert sum(p[0] == 0 for p in places) > 1
+
+
+def test_tokens_of_pieces_and_items_on_the_edges_of_windows(monkeypatch):
+    text = "the lattice is slow. Write to {anna, bruno}@maths.x.test \\emph{12.5} 1234567\n\n" * 20
+    types = pii_tokens.Types(np.zeros(0, np.uint32))
+    whole = pii_tokens.tokens(text, types).tolist()
+    for size in (1, 7, 50):
+        monkeypatch.setattr(pii_tokens, "PIECE", size)
+        assert pii_tokens.tokens(text, types).tolist() == whole
+    word, item = "the lattice is slow and follows the graph of it. ", "anna.kolinsk@maths.x.test"
+    for n in range(36, 60):
+        text = word * n + f"Write to {item} today. " + word * 60
+        assert [(text[a:b], kind) for _, a, b, kind in pii.spans([text])] == [(item, "email")], n
+
+
+def test_fast_states_and_paths_are_right():
+    rng = np.random.default_rng(1)
+    p, symbols = tagger.start(5), rng.integers(1, 90, (3, 6))
+    symbols[2:, 4] = 0
+    for d in "fb":
+        assert np.allclose(2 * tagger._run(p, symbols, d, False)[0], tagger._states(p, symbols, d), atol=1e-5)
+    e, paths = tagger.emissions(p, symbols), tagger.decode(p, symbols)
+    for n in range(6):
+        score = e[0, n][:, None, None] + e[1, n][:, None] + e[2, n] + p["t"][:, :, None] + p["t"]
+        assert tuple(paths[:, n]) == np.unravel_index(score.argmax(), score.shape)
